@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from quern.llm import chat, fingerprint, packing, token_count
+from quern.llm import chat, decontaminate, fingerprint, html_text, packing, token_count, url_rules
 
 
 def queries():
     return {
         "op1_fingerprints": fingerprint.op1_fingerprints,
+        "op2_html_text": html_text.op2_html_text,
         "op4_packing": packing.op4_packing,
+        "op7_url_rules": url_rules.op7_url_rules,
+        "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_chat_format": chat.op9_chat_format,
         "op10_token_counts": token_count.op10_token_counts,
     }
