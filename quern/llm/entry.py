@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quern.llm import chat, decontaminate, fingerprint, html_text, packing, token_count, url_rules
+from quern.llm import chat, decontaminate, fingerprint, html_text, packing, simhash, token_count, url_rules
 
 
 def queries():
     return {
         "op1_fingerprints": fingerprint.op1_fingerprints,
         "op2_html_text": html_text.op2_html_text,
+        "op3_simhash": simhash.op3_simhash,
         "op4_packing": packing.op4_packing,
         "op7_url_rules": url_rules.op7_url_rules,
         "op8_decontaminate": decontaminate.op8_decontaminate,
