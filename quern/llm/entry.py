@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import chat, decontaminate, fingerprint, html_text, packing, simhash, token_count, url_rules
+from quern.llm import chat, decontaminate, fingerprint, html_text, line_dedup, packing, simhash, token_count, toxicity, url_rules
 
 
 def queries():
@@ -11,6 +11,8 @@ def queries():
         "op2_html_text": html_text.op2_html_text,
         "op3_simhash": simhash.op3_simhash,
         "op4_packing": packing.op4_packing,
+        "op5_toxicity": toxicity.op5_toxicity,
+        "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_url_rules": url_rules.op7_url_rules,
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_chat_format": chat.op9_chat_format,
