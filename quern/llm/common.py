@@ -6,6 +6,7 @@ import re
 import tempfile
 from collections.abc import Iterator
 from itertools import accumulate
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -19,18 +20,22 @@ _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # Python workers import this package; where it isn't deployed to them, this helps those that see our folder
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).parents[2]))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's shared checkpoint folder and read again.
-
-    The folder comes from ``spark.checkpoint.dir``; one of our own is set only where a session has none (tests).
-    Files outlive any executor, so a lost one costs only the tasks it was running.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where that is unset (tests)."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: its files outlive any executor, and lineage ends there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

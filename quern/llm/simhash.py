@@ -54,15 +54,20 @@ def _signed(values: list[int]) -> pa.Array:
 
 
 def fingerprints(docs: DataFrame, second: int | None = None) -> DataFrame:
-    """(doc_id, fp, fp2): fingerprints as signed longs; fp2 is over shingles of ``second`` words, 0 without."""
+    """(doc_id, mark, fp, fp2, node) of each row.
+
+    fp: the fingerprint as a signed long; fp2: one over shingles of ``second`` words, 0 without; mark: a hash of the
+    text, to tell apart rows of one doc_id; node: what the join links, one for each (fp, fp2).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = binary(batch, "text")
             more = [fingerprint(x, second) for x in texts] if second else [0] * len(texts)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), _signed([fingerprint(x) for x in texts]), _signed(more)], names=["doc_id", "fp", "fp2"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), _signed([fingerprint(x) for x in texts]), _signed(more)], names=["doc_id", "mark", "fp", "fp2"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, fp2 long")
+    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), "text").mapInArrow(run, "doc_id long, mark long, fp long, fp2 long")
+    return made.withColumn("node", F.xxhash64("fp", "fp2") if second else F.col("fp"))
 
 
 def spans(blocks: int) -> list[tuple[int, int]]:
@@ -303,14 +308,38 @@ def near_duplicates(docs: DataFrame, how: Linking = Linking(), second: int | Non
     unless the component has no other. Other columns are left out; repeated rows come out as often as they are; an
     empty table gives an empty table.
     """
-    marked = fingerprints(docs, second)
-    marked = written(marked.withColumn("node", F.xxhash64("fp", "fp2") if second else F.col("fp")))
-    nodes = marked.groupBy("node", "fp", "fp2").agg(F.min("doc_id").alias("least"))
+    marked, labelled = _labelled(docs, how, second)
+    return marked.join(labelled, "node").select("doc_id", "fp", F.col("least.doc_id").alias("component_id"))
+
+
+def _labelled(docs: DataFrame, how: Linking, second: int | None) -> tuple[DataFrame, DataFrame]:
+    """The rows' fingerprints, and (node, least): the first document (unknown, doc_id, mark) of each node's component."""
+    marked = written(fingerprints(docs, second))
+    document = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "mark")
+    nodes = marked.groupBy("node", "fp", "fp2").agg(F.min(document).alias("least"))
     found = written(components(links(nodes, how)))
-    linked = nodes.join(found, "node")
-    least = linked.groupBy("root").agg(F.min("least").alias("_least"))
-    labelled = nodes.select("node", "least").join(found.join(least, "root").select("node", "_least"), "node", "left").select("node", F.coalesce("_least", "least").alias("component_id"))
-    return marked.join(labelled, "node").select("doc_id", "fp", "component_id")
+    firsts = nodes.join(found, "node").groupBy("root").agg(F.min("least").alias("_least"))
+    better = found.join(firsts, "root").select("node", "_least")
+    return marked, nodes.select("node", "least").join(better, "node", "left").select("node", F.coalesce("_least", "least").alias("least"))
+
+
+#: Links of texts whose sets of five-word shingles are about 0.8 alike or more. A pair at 0.8 differs in 10 bits of 64
+#: of its five-word fingerprint and 7 of its three-word one, give or take 3; unlike texts differ in 32, give or take 4.
+SIMILAR, SIMILAR_WORDS = Linking(radius=9, blocks=5, confirm=14), 5
+
+
+def keep_one(docs: DataFrame, how: Linking = SIMILAR, second: int | None = SIMILAR_WORDS) -> DataFrame:
+    """``docs`` with one document of each component, that of the smallest doc_id (null last); all columns stay.
+
+    Rows alike in doc_id and text are one document and come out once. Otherwise as near_duplicates.
+    """
+    marked, labelled = _labelled(docs, how, second)
+    kept = labelled.select("least").distinct().select(F.col("least.doc_id").alias("_id"), F.col("least.mark").alias("_kept"))
+    out = docs.withColumn("_own", F.xxhash64(F.coalesce("text", F.lit(""))))
+    out = out.join(kept, out["doc_id"].eqNullSafe(kept["_id"]) & (out["_own"] == kept["_kept"]), "left_semi")
+    if not marked.groupBy("doc_id", "mark").count().filter("count > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id", "_own"])
+    return out.drop("_own")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,9 +36,9 @@ class Fit:
 
     rows: int = 20_000
     support: int = 3
-    evidence: float = 10.0
+    evidence: float = 15.0
     features: int = 4000
-    penalty: float = 1e-3
+    penalty: float = 1e-5
     rounds: int = 400
 
 
