@@ -44,7 +44,7 @@ class ToColumn:
             return at.column.isNotNull() if value else at.column.isNull()
         if value is None and op in ("$eq", "$ne"):
             return at.column.isNull() if op == "$eq" else at.column.isNotNull()
-        if isinstance(at.type, ArrayType) and not isinstance(value, (list, tuple)) or at.fans:
+        if isinstance(at.type, ArrayType):
             return self._any_element(at, field, op, value)
         return self._scalar(at, field, op, value)
 
