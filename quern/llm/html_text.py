@@ -48,7 +48,7 @@ def _events(page: str) -> Iterator[tuple[str, str, str]]:
     at, n, last, tag = 0, len(page), page.rfind(">"), _TAG
     while at < n:
         lt = page.find("<", at)
-        if lt < 0 or lt > last:
+        if lt < 0 or lt > last and not page.startswith("<!--", lt):
             yield "text", page[at:], ""
             return
         if lt > at:

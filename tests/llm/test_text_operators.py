@@ -1,0 +1,200 @@
+"""HTML text, token counts, packing and chat format: against plain versions of themselves, and on odd input."""
+
+import hashlib
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from quern.llm import chat, packing
+from quern.llm.chat import GrammarError, escaped, format_turns, parse, read_back, render_turn, unescaped
+from quern.llm.html_text import extract, main_text
+from quern.llm.packing import Limits, Packer, document_ids, pack_documents
+from quern.llm.token_count import Automaton, byte_vocabulary, count_text, token_counts, vocabulary_path
+
+# --- HTML ---
+
+ARTICLE = "<h1>A title &amp; more</h1><p>First paragraph, with <b>bold</b>\n words. It is long enough.<p>Second one, &eacute;t&eacute; and so on; quite long too.</p><ul><li>one<li>two</ul>"
+TEXT = "A title & more\nFirst paragraph, with bold words. It is long enough.\nSecond one, été and so on; quite long too.\none\ntwo"
+
+
+@pytest.mark.parametrize("page", [
+    f"<html><head><title>T</title><style>p{{}}</style></head><body><nav><a href='/'>Home</a></nav><article>{ARTICLE}</article><footer>&copy; x</footer></body></html>",
+    f"<body><header><h1>Site</h1></header><div class='cookie-notice'>We use cookies, yes.</div><div id=content>{ARTICLE}</div><div class=sidebar><p>Other, long text. Here.</p></div><div id=comments><p>I, too, say things. Long ones.</p></div>",
+    f"<body><main><form><label>Name</label><input></form>{ARTICLE}<aside>Aside</aside><section class='comments'><p>No.</p></section></main><script>var t='</p>';</script>",
+    f"<!DOCTYPE html><!-- <p>no</p> --><body><div class='ad banner'>Buy, now! Yes.</div><article>{ARTICLE}<div class='share'>Share</div>",
+])
+def test_the_article_is_what_is_left(page):
+    assert extract(page) == TEXT
+
+
+@pytest.mark.parametrize("page,text", [("", ""), ("plain text", "plain text"), ("<p>a", "a"), ("<nav>a</nav>", ""), ("a < b &lt; c", "a < b < c"), ("<p>x<!-- open", "x"), ("<p>a<br>b</p>", "a\nb"), ("<script>p</script", ""), ("<p title='a > b'>c</p>", "c"), ("&#x41;&#66;&nbsp;&nbsp;c", "AB c")])
+def test_odd_markup(page, text):
+    assert extract(page) == text
+
+
+def test_hostile_markup_takes_linear_time():
+    for page in ("<a " * 200_000, '<p a="' * 100_000 + ">x", "<" * 300_000, "<div>" * 20_000 + "x", "&" * 300_000):
+        extract(page)
+
+
+def test_pages_query_edges(spark):
+    df = spark.createDataFrame([(1, None, None, "c"), (2, "u", "<p>a b</p>", "c"), (2, "u", "<p>a b</p>", "c"), (None, "v", "", "c")], "page_id long, url string, html string, text string")
+    assert sorted((tuple(r) for r in main_text(df).collect()), key=str) == sorted([(1, None, "", 0), (2, "u", "a b", 3), (2, "u", "a b", 3), (None, "v", "", 0)], key=str)
+    assert main_text(df.limit(0)).count() == 0
+
+
+# --- token counts ---
+
+PIECES = byte_vocabulary(vocabulary_path())
+
+
+def greedy(word: bytes, pieces) -> int:
+    n = at = 0
+    longest = max(map(len, pieces))
+    while at < len(word):
+        at = next(e for e in range(min(len(word), at + longest), at, -1) if word[at:e] in pieces)
+        n += 1
+    return n
+
+
+@pytest.fixture(scope="module")
+def automaton():
+    return Automaton(PIECES)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.one_of(st.text(max_size=40), st.text(alphabet="abcethinorsz ", max_size=60)))
+def test_counts_are_those_of_greedy_matching(automaton, word):
+    assert automaton.count(word.encode()) == greedy(word.encode(), PIECES)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.binary(min_size=2, max_size=6).map(lambda b: bytes(x % 3 for x in b)), max_size=12), st.binary(max_size=40).map(lambda b: bytes(x % 3 for x in b)))
+def test_small_vocabularies(pieces, word):
+    pieces = {bytes([b]) for b in range(256)} | set(pieces)
+    assert Automaton(pieces).count(word) == greedy(word, pieces)
+
+
+def test_a_vocabulary_needs_all_bytes():
+    with pytest.raises(ValueError):
+        Automaton([b"a", b"ab"])
+
+
+def test_token_counts_edges(spark, automaton):
+    rows = [(1, "The cat  sat\nON the mat"), (2, None), (3, ""), (3, ""), (None, "ünïcode 漢字 " + "x" * 5000)]
+    df = spark.createDataFrame([(d, t, 9) for d, t in rows], "doc_id long, text string, n_words int")
+    expected = [(d, *count_text((t or "").encode(), automaton, {})) for d, t in rows]
+    assert sorted((tuple(r) for r in token_counts(df).collect()), key=str) == sorted(expected, key=str)
+    assert expected[0][1:] == (6, sum(greedy(b" " + w, PIECES) for w in b"the cat sat on the mat".split()))
+    assert token_counts(df.limit(0)).count() == 0
+
+
+# --- packing ---
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 90), st.integers(0, 40)), max_size=60), st.booleans(), st.booleans(), st.integers(1, 8), st.integers(4, 40))
+def test_packed_pieces_cover_all_within_limits(items, cut, powers, segments, loss):
+    limits = Limits(tokens=40, segments=segments, loss=loss)
+    packer = Packer(limits, cut=cut, powers=powers, pool=4)
+    pieces = [p for i, (n, prompt) in enumerate(items) for p in packer.add(i, n, prompt)] + packer.finish()
+    covered, bins = defaultdict(list), defaultdict(list)
+    for key, start, size, sequence, offset in pieces:
+        covered[key].append((start, size))
+        bins[sequence].append((offset, size, key, start))
+    for i, (n, _) in enumerate(items):
+        at = 0
+        for start, size in sorted(covered[i]):
+            assert start == at and size > 0
+            at += size
+        assert at == n
+    for parts in bins.values():
+        at = 0
+        for offset, size, *_ in sorted(parts):
+            assert offset == at
+            at += size
+        assert at <= 40 and len(parts) <= segments
+        assert sum(max(0, s + n - max(s, items[k][1])) for _, n, k, s in parts) <= loss
+
+
+def test_whole_examples_stay_whole_unless_too_large():
+    packer = Packer(Limits(tokens=10), cut=False)
+    pieces = [p for i, n in enumerate([6, 6, 4, 4, 25]) for p in packer.add(i, n)] + packer.finish()
+    assert all(len([p for p in pieces if p[0] == i]) == 1 for i in range(4)) and sum(p[2] for p in pieces if p[0] == 4) == 25
+
+
+def test_the_dot_product_places_what_fits_best():
+    packer = Packer(Limits(tokens=10, segments=2, loss=10), cut=False)
+    pieces = [p for i, n in enumerate([6, 5, 5, 4]) for p in packer.add(i, n)] + packer.finish()
+    bins = defaultdict(list)
+    for key, _, size, sequence, _ in pieces:
+        bins[sequence].append(size)
+    assert sorted(map(sorted, bins.values())) == [[4, 6], [5, 5]]
+
+
+def test_documents_are_packed_with_the_tokenizers_ids(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(vocabulary_path())
+    texts = ["Hello world's  words\n\n and 12345 ünï <|endoftext|> x", None, "", "word " * 5000, " " * 3000 + "x", "漢字🙂" * 400, "a" * 4000, "Straße\t\r\n123 don't"]
+    rows = [(i, t, "c") for i, t in enumerate(texts)] + [(3, texts[3], "c"), (None, "no id", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, start string").repartition(2)
+    out = pack_documents(df).toPandas()
+    padding = 0
+    for _, g in out.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert (g["offset"].to_numpy() == np.r_[0, g["length"].cumsum()[:-1]]).all() and len(g) <= packing.SEGMENTS
+        n = int(g["length"].sum())
+        assert n <= 2048
+        padding += 0 if n & (n - 1) == 0 else 2048 - n
+    assert padding == 0
+    for i, text in enumerate(texts):
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 1], dtype="<u4")
+        assert (document_ids(text or "") == ids).all()
+        own = out[out.doc_id == i].sort_values("start")
+        assert own["length"].sum() == len(ids) * (2 if i == 3 else 1) and set(own["doc_tokens"]) == {len(ids)}
+        for r in own.itertuples():
+            assert r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+    assert pack_documents(df.limit(0)).count() == 0
+
+
+# --- chat ---
+
+turn_text = st.one_of(st.text(max_size=20), st.lists(st.sampled_from([*chat.CONTROLS, "\\", "\n", "ok", " ", "<", "[", "</s", "\\\\"]), max_size=8).map("".join))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.one_of(st.sampled_from(["user", "assistant", "system", "tool", ""]), turn_text), turn_text), max_size=5))
+def test_conversations_come_back(turns):
+    segments = [render_turn(*t) for t in turns]
+    assert [x[:2] for x in parse("".join(segments))] == turns
+    for (role, text), (_, _, a, b, loss) in zip(turns, parse("".join(segments))):
+        assert unescaped("".join(segments)[a:b]) == text and loss == (role == "assistant")
+        assert unescaped(escaped(text)) == text
+
+
+def test_only_what_conflicts_is_escaped():
+    assert render_turn("user", "a [b] \n c") == "[INST]a [b] \n c[/INST]"
+    assert render_turn("assistant", chat.HARD) == "\\</s>\\[INST] ok \\[/INST]</s>"
+    for bad in ("[INST]x", "x[INST]y</s>", "x", "[/INST]", "<<ROLE>>r<</ROLE>>x"):
+        with pytest.raises(GrammarError):
+            parse(bad)
+
+
+def test_conversations_are_digested_from_their_formatted_text(spark):
+    rows = [(1, 1, "assistant", "hi </s> there"), (1, 0, "user", "hello\\"), (2, 0, "system", None), (2, 1, None, "x"), (2, 1, "user", "é漢"), (None, 0, "user", "n"), (None, 1, "assistant", "[INST]"), (3, None, "assistant", "first"), (3, 0, "assistant", "second")]
+    rows += [(9, i, "assistant" if i % 2 else "user", f"turn {i} </s>") for i in range(25_000)]
+    df = spark.createDataFrame([(*r, "c") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
+    groups = defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
+        groups[r[0]].append((r[2] or "", r[3] or ""))
+    expected = []
+    for conv, turns in groups.items():
+        loss = "".join(t for r, t in turns if r == "assistant")
+        expected.append((conv, len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), sum(len(render_turn(*t)) for t in turns)))
+    assert sorted((tuple(r) for r in read_back(format_turns(df)).collect()), key=str) == sorted(expected, key=str)
+    assert read_back(format_turns(df.limit(0))).count() == 0
