@@ -31,15 +31,18 @@ class Fit:
     """rows: most labelled documents that the model is fitted on (those with the least hash of their id).
 
     support: documents that a feature must be in; evidence: least likelihood ratio (G2) for a feature against the
-    grades; features: most that are kept, the strongest first; penalty: of squared weights.
+    grades; features: most that are kept, the strongest first; penalty: of squared weights. severe: distinct words
+    with a feature of toxic documents from which a document labelled toxic is of grade 2, where labels say no more
+    than toxic or not.
     """
 
     rows: int = 20_000
     support: int = 3
     evidence: float = 15.0
     features: int = 4000
-    penalty: float = 1e-5
-    rounds: int = 400
+    penalty: float = 1e-6
+    rounds: int = 800
+    severe: int = 3
 
 
 @dataclass(frozen=True)
@@ -78,10 +81,12 @@ def present(text: str) -> set[str]:
 
 
 def graded(labels: DataFrame) -> DataFrame:
-    """(doc_id, grade): 0 not toxic, 1 toxic, 2 toxic and of low quality. Null ids or labels of toxicity are left out;
-    of several labels of a document the worst counts."""
-    grade = F.when(F.col("toxic") == 1, F.when(F.col("quality") == 0, 2).otherwise(1)).when(F.col("toxic") == 0, 0)
-    return labels.select("doc_id", grade.alias("grade")).filter("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.max("grade").alias("grade"))
+    """(doc_id, grade) from a column ``grade`` (0 is not toxic), or from ``toxic`` 0 or 1.
+
+    Null ids or labels are left out; of several labels of a document the worst counts.
+    """
+    grade = F.col("grade" if "grade" in labels.columns else "toxic").cast("int")
+    return labels.select("doc_id", grade.alias("grade")).filter("doc_id is not null and grade >= 0").groupBy("doc_id").agg(F.max("grade").alias("grade"))
 
 
 def _sample(docs: DataFrame, labels: DataFrame, how: Fit) -> DataFrame:
@@ -91,8 +96,8 @@ def _sample(docs: DataFrame, labels: DataFrame, how: Fit) -> DataFrame:
     return ours.join(F.broadcast(ids), "doc_id").select("grade", "text")
 
 
-def _choose(sample: DataFrame, how: Fit) -> tuple[list[str], list[int]]:
-    """The features that tell grades apart, at most how.features, and the documents of each grade."""
+def _choose(sample: DataFrame, how: Fit) -> dict[str, bool]:
+    """The features that tell toxic documents from others, at most how.features, and whether toxic ones have them more."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,11 +109,9 @@ def _choose(sample: DataFrame, how: Fit) -> tuple[list[str], list[int]]:
                     bad.update(found)
             yield pa.RecordBatch.from_arrays([pa.array(list(all_), pa.string()), pa.array([bad[x] for x in all_], pa.int64()), pa.array(list(all_.values()), pa.int64())], names=["feature", "bad", "n"])
 
-    grades = dict(sample.groupBy("grade").count().collect())
-    counts = [grades.get(g, 0) for g in range(max(grades, default=0) + 1)]
-    bad, total = sum(counts[1:]), sum(counts)
+    total, bad = sample.agg(F.count("*"), F.count(F.when(F.col("grade") > 0, 1))).first()
     if not bad or bad == total:
-        return [], counts
+        return {}
     x = sample.mapInArrow(count, "feature string, bad long, n long").groupBy("feature").agg(F.sum("bad").cast("double").alias("a"), F.sum("n").cast("double").alias("n")).filter(F.col("n") >= how.support)
 
     def part(seen, expected):
@@ -118,7 +121,7 @@ def _choose(sample: DataFrame, how: Fit) -> tuple[list[str], list[int]]:
     share = F.lit(bad / total)
     g2 = 2 * (part(a, n * share) + part(n - a, n * (1 - share)) + part(bad - a, (total - n) * share) + part((total - n) - (bad - a), (total - n) * (1 - share)))
     best = x.withColumn("g2", g2).filter(F.col("g2") >= how.evidence).orderBy(F.desc("g2"), "feature").limit(how.features).collect()
-    return [r["feature"] for r in best], counts
+    return {r["feature"]: r["a"] > r["n"] * bad / total for r in best}
 
 
 def fit(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> Model:
@@ -127,29 +130,31 @@ def fit(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> Model:
     To the driver come at most how.features features and how.rows rows of their numbers.
     """
     sample = written(_sample(docs, labels, how))
-    names, counts = _choose(sample, how)
+    names = _choose(sample, how)
     if not names:
         return Model()
     index = {x: i for i, x in enumerate(names)}
+    derive = "grade" not in labels.columns
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[index[x] for x in present(text) if x in index] for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("grade").cast(pa.int32()), pa.array(found, pa.list_(pa.int32()))], names=["grade", "at"])
+            grades, found = [], []
+            for grade, text in zip(batch.column("grade").to_pylist(), batch.column("text").to_pylist()):
+                words = vocabulary(text)
+                if derive and grade:
+                    grade = 1 + (sum(any(names.get(x) for x in features_of(w)) for w in words) >= how.severe)
+                grades.append(grade)
+                found.append(sorted({index[x] for w in words for x in features_of(w) if x in index}))
+            yield pa.RecordBatch.from_arrays([pa.array(grades, pa.int32()), pa.array(found, pa.list_(pa.int32()))], names=["grade", "at"])
 
     data = sample.mapInArrow(rows, "grade int, at array<int>").toArrow()
     grades = data.column("grade").to_numpy()
     at = data.column("at").combine_chunks()
     sizes = np.asarray(at.value_lengths())
-    present_ = [g for g, n in enumerate(counts) if n]
-    levels = np.searchsorted(present_, grades)  # grades that occur, gapless
-    weights, thresholds = train(levels, np.repeat(np.arange(len(grades)), sizes), np.asarray(at.flatten()), len(names), len(present_), how)
-    by_grade = {g: t for g, t in zip(present_[1:], thresholds)}
-    full, last = [], None
-    for g in range(len(counts) - 1, 0, -1):  # a grade without rows shares the next one's threshold
-        last = by_grade.get(g, last)
-        full.append(float(last))
-    return Model({x: float(w) for x, w in zip(names, weights)}, tuple(reversed(full)))
+    there, levels = np.unique(grades, return_inverse=True)  # grades that occur, gapless
+    weights, cuts = train(levels, np.repeat(np.arange(len(grades)), sizes), np.asarray(at.flatten()), len(names), len(there), how)
+    thresholds = [float(cuts[np.searchsorted(there, g) - 1]) for g in range(1, int(there[-1]) + 1)]  # a grade without rows shares the next one's
+    return Model({x: float(w) for x, w in zip(names, weights)}, tuple(thresholds))
 
 
 def train(levels: np.ndarray, row: np.ndarray, col: np.ndarray, n: int, k: int, how: Fit) -> tuple[np.ndarray, np.ndarray]:

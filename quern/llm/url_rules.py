@@ -22,6 +22,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
 
+#: Most mined rules, by confidence, that come to the driver to be pruned of redundant ones.
+CANDIDATES = 20_000
+
+
 @dataclass(frozen=True)
 class Mining:
     """rows: labelled URLs that rules must hold in; share: of all labelled URLs; rules: most that are kept."""
@@ -76,12 +80,12 @@ def mine(labelled: DataFrame, how: Mining = Mining()) -> list[tuple[list[str], f
         .select(F.sort_array("antecedent").alias("items"), "confidence", "support")
         .filter(F.size("items") > 0)
         .orderBy(F.desc("confidence"), F.size("items"), F.desc("support"), F.array_join("items", " "))
-        .limit(how.rules)
+        .limit(CANDIDATES)
         .collect()
     )
     rules: list[tuple[list[str], float]] = []
     for r in best:
-        if not any(set(items) <= set(r["items"]) for items, _ in rules):
+        if len(rules) < how.rules and not any(set(items) <= set(r["items"]) for items, _ in rules):
             rules.append((list(r["items"]), r["confidence"]))
     return rules
 
