@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import chat, decontaminate, fingerprint, html_text, line_dedup, packing, simhash, token_count, toxicity, url_rules
+from quern.llm import chat, decontaminate, fingerprint, html_text, line_dedup, oracle, packing, simhash, token_count, toxicity, url_rules
 
 
 def queries():
@@ -21,4 +21,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_decontaminate": oracle.leak_sql(), "op9_chat_format": oracle.chat_sql()}
