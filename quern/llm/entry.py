@@ -21,4 +21,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontaminate": oracle.leak_sql(), "op9_chat_format": oracle.chat_sql()}
+    return {"op7_url_rules": oracle.url_sql(), "op8_decontaminate": oracle.leak_sql(), "op9_chat_format": oracle.chat_sql()}

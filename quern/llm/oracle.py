@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quern.llm.chat import CONTROLS, HARD
 from quern.llm.decontaminate import NAME, NUM, UNIT, UNITS, Matching
+from quern.llm.url_rules import LOWER, RULES, UPPER, Mining
 
 
 def chat_sql() -> str:
@@ -72,3 +73,35 @@ wins as (
 )
 select doc_id, item_id, covered::int as covered, item_words::int as item_words, covered / item_words as coverage, slots::int as slots, exchanged::int as exchanged
 from total where covered / item_words >= {how.share}"""
+
+
+def url_sql(how: Mining = Mining()) -> str:
+    """Rules by counting all sets of up to three tokens; a URL's confidence is that of its best rule."""
+    if how.tokens != 3:
+        raise ValueError("written out for three tokens")
+    rule = " ".join(f"when (host = '{h}' or host like '%.{h}') and starts_with(path, '{p}') then '{{}}'" .replace("{}", f"{h}{p}|{v}") for v, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2])))
+    enough = f"count(*) filter (bad) >= greatest({how.rows}, {how.share} * (select count(*) from basket)) and count(*) filter (bad) / count(*) >= {how.confidence}"
+    parts = "regexp_replace(host, '[:@].*', '')"
+    return f"""
+with u as (
+  select page_id, coalesce(url, '') as url, case when instr(coalesce(url, ''), '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest, row_number() over () as r from pages
+), h as (
+  select *, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u
+), t as (
+  select *, list_distinct(list_concat(list_concat(
+    list_transform(list_filter(list_concat(string_split({parts}, '.'), string_split_regex({parts}, '[.-]')), lambda x: x <> ''), lambda x: 'h:' || x),
+    list_transform(list_filter(string_split_regex(lower(regexp_replace(path, '[0-9]+', '#', 'g')), '[^\\p{{L}}#]+'), lambda x: x <> ''), lambda x: 'p:' || x)),
+    list_transform(regexp_extract_all(regexp_extract(rest, '\\?([^#]*)', 1), '(?:^|&)([^=&]+)', 1), lambda x: 'q:' || x))) as tokens from h
+), label as (
+  select doc_id, bool_or(toxic = 1 or quality = 0) as bad from labels group by 1 having bool_or(toxic = 1 or quality = 0) is not null
+), basket as (select r, tokens, bad from t join label on page_id = doc_id where len(tokens) + bad::int > 0),
+one as (select r, bad, unnest(tokens) as a from basket),
+rules as (
+  select [a] as items, count(*) filter (bad) / count(*) as sure from one group by a having {enough}
+  union all
+  select [x.a, y.a], count(*) filter (x.bad) / count(*) from one x join one y on x.r = y.r and x.a < y.a group by x.a, y.a having {enough.replace('bad)', 'x.bad)')}
+  union all
+  select [x.a, y.a, z.a], count(*) filter (x.bad) / count(*) from one x join one y on x.r = y.r and x.a < y.a join one z on x.r = z.r and y.a < z.a group by x.a, y.a, z.a having {enough.replace('bad)', 'x.bad)')}
+), best as (select r, max(sure) as confidence from t join rules on list_has_all(tokens, items) group by r),
+judged as (select page_id, host, path, case {rule} end as fixed, confidence from t left join best using (r))
+select page_id, host, path, string_split(fixed, '|')[1] as rule, coalesce(string_split(fixed, '|')[2], case when confidence is null then 'allow' else 'block' end) as verdict, confidence from judged"""

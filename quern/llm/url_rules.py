@@ -28,11 +28,12 @@ CANDIDATES = 20_000
 
 @dataclass(frozen=True)
 class Mining:
-    """rows: labelled URLs that rules must hold in; share: of all labelled URLs; rules: most that are kept."""
+    """rows: labelled URLs that rules must hold in; share: of all labelled URLs; tokens: most in a rule; rules: most that are kept."""
 
     rows: int = 20
     share: float = 1e-4
     confidence: float = 0.6
+    tokens: int = 3
     rules: int = 200
 
 
@@ -78,7 +79,7 @@ def mine(labelled: DataFrame, how: Mining = Mining()) -> list[tuple[list[str], f
     best = (
         found.filter(F.col("consequent") == F.array(F.lit(BAD)))
         .select(F.sort_array("antecedent").alias("items"), "confidence", "support")
-        .filter(F.size("items") > 0)
+        .filter(F.size("items").between(1, how.tokens))
         .orderBy(F.desc("confidence"), F.size("items"), F.desc("support"), F.array_join("items", " "))
         .limit(CANDIDATES)
         .collect()
