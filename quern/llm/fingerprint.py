@@ -96,16 +96,16 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
     The last part's guest is the first row of all. Ties of doc_id are in order of their texts.
     """
     ranged, n = _ranges(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), partitions(docs.sparkSession))
-    heads = ranged.groupBy("_part").agg(F.max("doc_id").alias("_head"))  # at most n rows
-    order = [r[0] for r in heads.select("_part").orderBy("_part").collect()]  # at most n numbers
-    if not order:
+    heads = ranged.groupBy("_part").agg(F.max("doc_id").alias("_head")).orderBy("_part").collect()  # at most n rows
+    if not heads:
         return ranged.withColumn("_guest", F.lit(False)), n
-    before = F.create_map(*[F.lit(x) for part, prior in zip(order, [order[-1], *order]) for x in (part, prior)])
+    sent = [(part, head, heads[i - 1][0]) for i, (part, head) in enumerate(heads)]
+    to = F.broadcast(docs.sparkSession.createDataFrame(sent, "_from int, _head long, _to int"))
     guests = (
-        ranged.join(F.broadcast(heads), (ranged["_part"] == heads["_part"]) & ranged["doc_id"].eqNullSafe(heads["_head"]), "left_semi")
-        .groupBy("_part", "doc_id")
+        ranged.join(to, (ranged["_part"] == to["_from"]) & ranged["doc_id"].eqNullSafe(to["_head"]))
+        .groupBy("_to", "doc_id")
         .agg(F.min("text").alias("text"))
-        .select(before[F.col("_part")].alias("_part"), "doc_id", "text", F.lit(True).alias("_guest"))
+        .select(F.col("_to").alias("_part"), "doc_id", "text", F.lit(True).alias("_guest"))
     )
     return ranged.select("_part", "doc_id", "text", F.lit(False).alias("_guest")).unionByName(guests), n
 
