@@ -7,6 +7,7 @@ other ``$`` keys pass through.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
@@ -69,6 +70,14 @@ class Query:
             raise QueryError(f"a query has filter, controls, insights and name: {value!r}")
         return cls(dict(value.get("filter") or {}), dict(value.get("controls") or {}), value.get("insights"), value.get("name"))
 
+    @classmethod
+    def from_json(cls, text: str) -> Query:
+        return cls.of(json.loads(text))
+
+    def to_json(self) -> str:
+        """The dict form as JSON; patterns, dates and other values without a JSON form as their text."""
+        return json.dumps(self.as_dict(), default=str, ensure_ascii=False)
+
     def relations(self) -> list[Query]:
         return [Query.of(x) for x in self.controls.get("$with") or ()]
 
