@@ -80,31 +80,41 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return kept
 
 
+#: Units that are held at a time.
+ROWS = 1 << 18
+
+
 def _occurrences(docs: DataFrame, how: Units) -> DataFrame:
-    """(digest, doc_id, text_hash, start, end, late): units of each text, the repeats within one batch already told.
+    """(digest, doc_id, text_hash, start, end, late): units of each text, the repeats among ROWS at a time already told.
 
-    A repeat inside a batch is late whatever other batches hold, so only a batch's earliest occurrence of a digest
-    need meet the others: a line that a third of all documents share comes once a batch.
+    A repeat inside such a run is late whatever others hold, so only its earliest occurrence of a digest need meet the
+    others: a line that a third of all documents share comes once a run.
     """
 
+    def told(rows: list[tuple[int, tuple, int, int]]) -> pa.RecordBatch:
+        seen: dict[int, tuple] = {}
+        for digest, rank, start, _ in rows:
+            if digest not in seen or (rank, start) < seen[digest]:
+                seen[digest] = (rank, start)
+        late = [seen[d] != (rank, start) for d, rank, start, _ in rows]
+        digests = np.array([d for d, *_ in rows], dtype=np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(digests), pa.array([None if r[0] else r[1] for _, r, _, _ in rows], pa.int64()), pa.array([r[2] for _, r, _, _ in rows], pa.int64()), pa.array([x[2] for x in rows], pa.int64()), pa.array([x[3] for x in rows], pa.int64()), pa.array(late)],
+            names=["digest", "doc_id", "text_hash", "start", "end", "late"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[int, tuple, int, int]] = []
         for batch in batches:
-            rows = []
             for doc, mark, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text"))):
                 rank = (doc is None, doc or 0, mark)
-                rows += [(xxhash.xxh3_64_intdigest(unit), rank, start, end) for start, end, unit in units(text, how)]
-            if not rows:
-                continue
-            seen: dict[int, tuple] = {}
-            for digest, rank, start, _ in rows:
-                if digest not in seen or (rank, start) < seen[digest]:
-                    seen[digest] = (rank, start)
-            late = [seen[d] != (rank, start) for d, rank, start, _ in rows]
-            digests = np.array([d for d, *_ in rows], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(digests), pa.array([None if r[0] else r[1] for _, r, _, _ in rows], pa.int64()), pa.array([r[2] for _, r, _, _ in rows], pa.int64()), pa.array([x[2] for x in rows], pa.int64()), pa.array([x[3] for x in rows], pa.int64()), pa.array(late)],
-                names=["digest", "doc_id", "text_hash", "start", "end", "late"],
-            )
+                for start, end, unit in units(text, how):
+                    rows.append((xxhash.xxh3_64_intdigest(unit), rank, start, end))
+                    if len(rows) >= ROWS:
+                        yield told(rows)
+                        rows = []
+        if rows:
+            yield told(rows)
 
     text = F.coalesce("text", F.lit(""))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, "digest long, doc_id long, text_hash long, start long, end long, late boolean")
