@@ -25,12 +25,39 @@ from quern.llm.common import partitions, table
 _UNIT = re.compile(r"\S++(?:(?<![.!?…。！？])[^\S\n\r]++(?![A-ZÀ-ÖØ-ÞΑ-ΩА-Я])\S++)*+")
 
 
+_WORD = re.compile(r"\S++")
+
+
 @dataclass(frozen=True)
 class Units:
-    """A unit has at least this many words, or this many characters of normalised text (for scripts without spaces)."""
+    """A unit has at least ``words`` words, or ``chars`` characters of normalised text (for scripts without spaces).
+
+    Where more than ``run`` words stand without a seam, the words whose own hash is a multiple of ``every`` are seams.
+    """
 
     words: int = 8
     chars: int = 80
+    run: int = 32
+    every: int = 4
+
+
+def _pieces(text: str, how: Units) -> Iterator[tuple[int, int, str]]:
+    """(start, end, normalised text) between one seam and the next."""
+    for m in _UNIT.finditer(text):
+        words = m[0].lower().split()
+        if len(words) <= how.run:
+            yield m.start(), m.end(), " ".join(words)
+            continue
+        own: list[str] = []
+        start = end = m.start()
+        for w in _WORD.finditer(text, m.start(), m.end()):
+            word = w[0].lower()
+            if own and xxhash.xxh3_64_intdigest(word) % how.every == 0:
+                yield start, end, " ".join(own)
+                own, start = [], w.start()
+            own.append(word)
+            end = w.end()
+        yield start, end, " ".join(own)
 
 
 def units(text: str, how: Units = Units()) -> Iterator[tuple[int, int, str]]:
@@ -38,7 +65,7 @@ def units(text: str, how: Units = Units()) -> Iterator[tuple[int, int, str]]:
 
     Normalised: lower case, white space as single spaces. What is left at a text's end that is too short is no unit.
     """
-    found = [(m.start(), m.end(), " ".join(m[0].lower().split())) for m in _UNIT.finditer(text)]
+    found = list(_pieces(text, how))
     counts = [x[2].count(" ") + 1 for x in found]
     n, last, words, chars = len(found), -1, 0, 0  # found[i..last] is the window
     for i, (start, _, _) in enumerate(found):

@@ -95,6 +95,8 @@ def test_units():
     assert found[0] == (0, 46, "one two three. four five six seven eight nine.") and found[1][0] == 15 and found[2][0] == 47
     assert [u for _, _, u in units("a b c d e f g h")] == ["a b c d e f g h"] and list(units("a b c")) == [] and list(units("")) == []
     assert len(list(units("漢" * 100))) == 1
+    long = " ".join(f"w{i}" for i in range(200))
+    assert len(list(units(long))) > 10 and all(long[a:b] == u for a, b, u in units(long))
 
 
 def test_cuts():
@@ -117,6 +119,15 @@ def test_a_passage_pasted_into_a_line_is_removed(spark):
         assert len(left.split()) - 30 <= 0.25 * len(passage.split())
 
 
+def test_a_passage_in_text_without_any_seam_is_removed(spark):
+    rng = random.Random(8)
+    words = [a + b for a in PLAIN for b in PLAIN]
+    passage = prose(rng, 70, words)
+    rows = [(i, " ".join([prose(rng, 40, words), passage, prose(rng, 40, words)])) for i in range(2)]
+    first, second = dedup(spark.createDataFrame(rows, DOCS)).orderBy("doc_id").collect()
+    assert first.text == rows[0][1] and 80 <= len(second.text.split()) <= 100
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_dedup_against_brute_force(spark, seed):
     rng = random.Random(seed)
