@@ -1,7 +1,8 @@
 """Substring dedup by hashing lines.
 
-A unit is a line, or a sentence or clause of a longer line (so that a passage pasted into the middle of a line is
-still cut at its own seams), together with the units after it until it has enough words. Units are normalised,
+A unit is a line, or a sentence or clause of a longer line, or what follows a word chosen by its own hash (so that a
+passage pasted into the middle of a line is still cut at its own seams), together with the units after it until it has
+enough words. Units are normalised,
 digests grouped over all documents, and every occurrence but the earliest ranked one is removed, its place in the
 original text retained.
 """
@@ -32,52 +33,66 @@ _WORD = re.compile(r"\S++")
 class Units:
     """A unit has at least ``words`` words, or ``chars`` characters of normalised text (for scripts without spaces).
 
-    Where more than ``run`` words stand without a seam, the words whose own hash is a multiple of ``every`` are seams.
+    The words whose own hash is a multiple of ``every`` are seams too, so that seams depend on nothing around them.
     """
 
     words: int = 8
     chars: int = 80
-    run: int = 32
     every: int = 4
 
 
-def _pieces(text: str, how: Units) -> Iterator[tuple[int, int, str]]:
-    """(start, end, normalised text) between one seam and the next."""
-    for m in _UNIT.finditer(text):
-        words = m[0].lower().split()
-        if len(words) <= how.run:
-            yield m.start(), m.end(), " ".join(words)
-            continue
-        own: list[str] = []
-        start = end = m.start()
-        for w in _WORD.finditer(text, m.start(), m.end()):
-            word = w[0].lower()
-            if own and xxhash.xxh3_64_intdigest(word) % how.every == 0:
-                yield start, end, " ".join(own)
-                own, start = [], w.start()
-            own.append(word)
-            end = w.end()
-        yield start, end, " ".join(own)
-
+Piece = tuple[int, int, int, int]
 
-def units(text: str, how: Units = Units()) -> Iterator[tuple[int, int, str]]:
-    """(start, end, normalised text) of each unit: one begins at every line, sentence and clause.
 
-    Normalised: lower case, white space as single spaces. What is left at a text's end that is too short is no unit.
-    """
-    found = list(_pieces(text, how))
-    counts = [x[2].count(" ") + 1 for x in found]
+def _pieces(text: str, how: Units) -> tuple[list[Piece], list[Piece]]:
+    """(start, end, words, characters of normalised text) between one seam and the next: without, and with hash seams."""
+    digest, every = xxhash.xxh3_64_intdigest, how.every
+    whole: list[Piece] = []
+    parts: list[Piece] = []
+    for m in _UNIT.finditer(text):
+        begin = start = end = m.start()
+        words = chars = all_words = all_chars = 0
+        for w in _WORD.finditer(text, begin, m.end()):
+            word = w[0].lower()
+            if words and digest(word) % every == 0:
+                parts.append((start, end, words, chars - 1))
+                all_words, all_chars = all_words + words, all_chars + chars
+                start, words, chars = w.start(), 0, 0
+            words, chars, end = words + 1, chars + len(word) + 1, w.end()
+        parts.append((start, end, words, chars - 1))
+        whole.append((begin, end, all_words + words, all_chars + chars - 1))
+    return whole, parts
+
+
+def _windows(found: list[Piece], how: Units) -> Iterator[tuple[int, int]]:
+    """From each piece on, until there is enough."""
     n, last, words, chars = len(found), -1, 0, 0  # found[i..last] is the window
-    for i, (start, _, _) in enumerate(found):
+    for i, piece in enumerate(found):
         if last < i:
-            last, words, chars = i, counts[i], len(found[i][2])
+            last, words, chars = i, piece[2], piece[3]
         while words < how.words and chars < how.chars and last + 1 < n:
             last += 1
-            words, chars = words + counts[last], chars + len(found[last][2])
+            words, chars = words + found[last][2], chars + found[last][3]
         if words < how.words and chars < how.chars:
             return
-        yield start, found[last][1], found[i][2] if last == i else " ".join(x[2] for x in found[i : last + 1])
-        words, chars = words - counts[i], chars - len(found[i][2])
+        yield piece[0], found[last][1]
+        words, chars = words - piece[2], chars - piece[3]
+
+
+def units(text: str, how: Units = Units()) -> Iterator[tuple[int, int, str]]:
+    """(start, end, normalised text) of each unit, a span once: one begins at every line, sentence, clause and hash seam.
+
+    Those of lines, sentences and clauses end at such a seam too, whatever hash seams are between; those of hash seams
+    end at the next seam of any kind. Normalised: lower case, white space as single spaces. What is left at a text's
+    end that is too short is no unit.
+    """
+    whole, parts = _pieces(text, how)
+    seen: set[tuple[int, int]] = set()
+    for spans in (_windows(whole, how), _windows(parts, how)):
+        for span in spans:
+            if span not in seen:
+                seen.add(span)
+                yield *span, " ".join(text[span[0] : span[1]].lower().split())
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -128,6 +128,20 @@ def test_a_passage_in_text_without_any_seam_is_removed(spark):
     assert first.text == rows[0][1] and 80 <= len(second.text.split()) <= 100
 
 
+@pytest.mark.parametrize("sizes", [(26, 26), (30, 30), (32, 20), (14, 44)])
+def test_a_passage_with_one_inner_sentence_break_is_cut_alike_in_any_context(sizes):
+    rng = random.Random(9)
+    words = [a + b for a in PLAIN for b in PLAIN]
+    for _ in range(50):
+        a, b = (prose(rng, n, words) for n in sizes)
+        passage = f"{a}. {b.capitalize()}"
+        line = f"{prose(rng, 40, words)}\n{passage}\n{prose(rng, 40, words)}"
+        middle = f"{prose(rng, 20, words)} {passage} {prose(rng, 20, words)}"
+        digests = {u for _, _, u in units(line)}
+        spans = merged([(x, y) for x, y, u in units(middle) if u in digests])
+        assert sum(len(middle[x:y].split()) for x, y in spans) >= 0.4 * sum(sizes)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_dedup_against_brute_force(spark, seed):
     rng = random.Random(seed)
