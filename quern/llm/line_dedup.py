@@ -2,7 +2,7 @@
 
 A unit is a line, or a sentence or clause of a longer line, or what follows a word chosen by its own hash (so that a
 passage pasted into the middle of a line is still cut at its own seams), together with the units after it until it has
-enough words. Units are normalised,
+enough words. A whole line is a unit of its own as well, however short. Units are normalised,
 digests grouped over all documents, and every occurrence but the earliest ranked one is removed, its place in the
 original text retained.
 """
@@ -27,6 +27,7 @@ _UNIT = re.compile(r"\S++(?:(?<![.!?…。！？])[^\S\n\r]++(?![A-ZÀ-ÖØ-ÞΑ
 
 
 _WORD = re.compile(r"\S++")
+_LINE = re.compile(r"\S(?:[^\n\r]*\S)?")
 
 
 @dataclass(frozen=True)
@@ -83,12 +84,16 @@ def units(text: str, how: Units = Units()) -> Iterator[tuple[int, int, str]]:
     """(start, end, normalised text) of each unit, a span once: one begins at every line, sentence, clause and hash seam.
 
     Those of lines, sentences and clauses end at such a seam too, whatever hash seams are between; those of hash seams
-    end at the next seam of any kind. Normalised: lower case, white space as single spaces. What is left at a text's
-    end that is too short is no unit.
+    end at the next seam of any kind. A whole line is a unit by itself besides, however short. Normalised: lower case,
+    white space as single spaces. What is left at a text's end that is too short, and no whole line, is no unit; nor is
+    a text's only line if it is too short.
     """
     whole, parts = _pieces(text, how)
+    lines = [m.span() for m in _LINE.finditer(text)]
     seen: set[tuple[int, int]] = set()
-    for spans in (_windows(whole, how), _windows(parts, how)):
+    for spans in (_windows(whole, how), _windows(parts, how), lines):
+        if spans is lines and len(lines) == 1 and not seen:
+            return
         for span in spans:
             if span not in seen:
                 seen.add(span)

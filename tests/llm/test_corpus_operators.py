@@ -142,6 +142,13 @@ def test_a_passage_with_one_inner_sentence_break_is_cut_alike_in_any_context(siz
         assert sum(len(middle[x:y].split()) for x, y in spans) >= 0.4 * sum(sizes)
 
 
+def test_short_lines_are_removed_but_where_they_stand_first(spark):
+    rng = random.Random(10)
+    texts = [prose(rng, 12, PLAIN) + "\n  Read more here\r\nOK\n" + prose(rng, 12, PLAIN) for _ in range(4)]
+    got = [r.text for r in dedup(spark.createDataFrame(list(enumerate(texts)), DOCS)).orderBy("doc_id").collect()]
+    assert got[0] == texts[0] and got[1:] == [t.replace("  Read more here\r\nOK\n", "") for t in texts[1:]]
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_dedup_against_brute_force(spark, seed):
     rng = random.Random(seed)
