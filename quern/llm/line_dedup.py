@@ -22,8 +22,13 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from quern.llm.common import partitions, table
 
-#: A run of words that doesn't go on past a line's end, a sentence's end, or a capital letter.
-_UNIT = re.compile(r"\S++(?:(?<![.!?…。！？])[^\S\n\r]++(?![A-ZÀ-ÖØ-ÞΑ-ΩА-Я])\S++)*+")
+#: A run of words that doesn't go on past a line's end, a sentence's end, or a capital letter. After 。！？ it ends
+#: without white space too.
+_PART = r"(?:[^\s。！？]++[。！？]*+|[。！？]++)"
+_UNIT = re.compile(rf"{_PART}(?:(?<![.!?…。！？])[^\S\n\r]++(?![A-ZÀ-ÖØ-ÞΑ-ΩА-Я]){_PART})*+")
+#: Letters of scripts without spaces (Thai, Lao, Myanmar, Khmer, kana, Han), and what parts words without white space.
+_DENSE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+_STOP = re.compile(r"[。！？]")
 
 
 _WORD = re.compile(r"\S++")
@@ -34,19 +39,50 @@ _LINE = re.compile(r"\S(?:[^\n\r]*\S)?")
 class Units:
     """A unit has at least ``words`` words, or ``chars`` characters of normalised text (for scripts without spaces).
 
-    The words whose own hash is a multiple of ``every`` are seams too, so that seams depend on nothing around them.
+    The words whose own hash is a multiple of ``every`` are seams too, so that seams depend on nothing around them;
+    inside a word of a script without spaces, runs of ``gram`` characters whose hash is a multiple of twice that.
     """
 
     words: int = 8
     chars: int = 80
     every: int = 4
+    gram: int = 4
 
 
 Piece = tuple[int, int, int, int]
 
 
+def _inner(word: str, how: Units) -> list[int]:
+    """Where seams are in a word of a script without spaces. A run that only repeats one character has none."""
+    grams = [word[i : i + how.gram].lower() for i in range(len(word) - how.gram + 1)]
+    return [i for i, g in enumerate(grams) if i and g != grams[i - 1] and xxhash.xxh3_64_intdigest(g) % (2 * how.every) == 0]
+
+
+def _dense_pieces(text: str, how: Units) -> tuple[list[Piece], list[Piece]]:
+    """As ``_pieces``, of a text whose pieces can meet without white space. What goes on a word is none of its own."""
+
+    def piece(a: int, b: int) -> Piece:
+        words = text[a:b].lower().split()
+        return a, a + len(text[a:b].rstrip()), len(words) - (a > 0 and not text[a - 1].isspace()), sum(map(len, words)) + len(words) - 1
+
+    whole, parts = [], []
+    for m in _UNIT.finditer(text):
+        cuts = {m.start()}
+        for w in _WORD.finditer(text, m.start(), m.end()):
+            if _DENSE.search(w[0]):
+                cuts.update(w.start() + i for i in _inner(w[0], how))
+            elif xxhash.xxh3_64_intdigest(w[0].lower()) % how.every == 0:
+                cuts.add(w.start())
+        edges = [*sorted(cuts), m.end()]
+        parts += [piece(a, b) for a, b in zip(edges, edges[1:])]
+        whole.append(piece(*m.span()))
+    return whole, parts
+
+
 def _pieces(text: str, how: Units) -> tuple[list[Piece], list[Piece]]:
     """(start, end, words, characters of normalised text) between one seam and the next: without, and with hash seams."""
+    if _DENSE.search(text) or _STOP.search(text):
+        return _dense_pieces(text, how)
     digest, every = xxhash.xxh3_64_intdigest, how.every
     whole: list[Piece] = []
     parts: list[Piece] = []

@@ -142,6 +142,18 @@ def test_a_passage_with_one_inner_sentence_break_is_cut_alike_in_any_context(siz
         assert sum(len(middle[x:y].split()) for x, y in spans) >= 0.4 * sum(sizes)
 
 
+@pytest.mark.parametrize("stops", ["", "。"])
+def test_a_passage_in_a_script_without_spaces_is_found_inside_lines(stops):
+    rng = random.Random(12)
+    run = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    for _ in range(20):
+        passage = stops.join(run(40) for _ in range(5))
+        one, two = (run(60) + passage + run(60) for _ in range(2))
+        digests = {u for _, _, u in units(one)}
+        spans = merged([(x, y) for x, y, u in units(two) if u in digests])
+        assert sum(y - x for x, y in spans) >= 0.5 * len(passage) and all(two[x:y] in passage for x, y in spans)
+
+
 def test_short_lines_are_removed_but_where_they_stand_first(spark):
     rng = random.Random(10)
     texts = [prose(rng, 12, PLAIN) + "\n  Read more here\r\nOK\n" + prose(rng, 12, PLAIN) for _ in range(4)]
