@@ -2,7 +2,7 @@
 
 Every text node lies on a root-to-leaf tag path. Per path the length of its text and its punctuation are summed and
 divided by its nodes, the two ratios are fused, and each node takes its path's value, smoothed over its neighbours
-in page order. Nodes above a threshold are content; the element that holds most of the content is the article, and
+in page order. Nodes above a threshold are content; the element that holds all of the content is the article, and
 all its blocks are kept in order, short ones too, but for what is boilerplate by its element or its class (menus,
 notices, forms, comments).
 """
@@ -178,21 +178,20 @@ def extract(page: str, share: float = 0.5) -> str:
 def _article(parsed: _Page, scores: list[float], threshold: float) -> int | None:
     """The element that holds the content (None: nothing narrower than the page).
 
-    It has nine tenths of the content's text. Of such elements an article or main comes first, then the innermost
-    that holds several blocks and nine tenths of the content's blocks.
+    It has all blocks of the content. Of such elements an article or main comes first, then the innermost that holds
+    several blocks.
     """
-    mass, count, inside = defaultdict(int), defaultdict(int), defaultdict(int)
-    total = n = 0
-    for (text, _, chain), score in zip(parsed.blocks, scores):
+    count, inside = defaultdict(int), defaultdict(int)
+    n = 0
+    for (_, _, chain), score in zip(parsed.blocks, scores):
         content = score >= threshold
-        total, n = total + content * len(text), n + content
+        n += content
         for element in chain:
             inside[element] += 1
-            mass[element] += content * len(text)
             count[element] += content
-    held = [x for x in inside if mass[x] >= 0.9 * total]  # ids rise from outer to inner
+    held = [x for x in inside if count[x] == n]  # ids rise from outer to inner
     named = [x for x in held if parsed.names[x] in ("article", "main")]
-    wide = [x for x in held if parsed.names[x] not in LEAF and inside[x] > 1 and count[x] >= 0.9 * n]
+    wide = [x for x in held if parsed.names[x] not in LEAF and inside[x] > 1]
     return max(named or wide, default=None)
 
 

@@ -36,6 +36,16 @@ def test_odd_markup(page, text):
     assert extract(page) == text
 
 
+@pytest.mark.parametrize("paragraphs", [4, 20, 60])
+@pytest.mark.parametrize("nested", [False, True])
+def test_content_outside_the_main_element_is_kept(paragraphs, nested):
+    text = [f"Paragraph {i}, as long as any other of them is; it says a thing or two." for i in range(paragraphs)]
+    most = "".join(f"<p>{x}</p>" for x in text[:-1])
+    first = f"<article>{most}</article>" if nested else f"<div>{most}</div>"
+    page = f"<body><nav>Home</nav>{'<main>' if nested else '<div>'}{first}<div><p>{text[-1]}</p></div></body>"
+    assert extract(page) == "\n".join(text)
+
+
 def test_hostile_markup_takes_linear_time():
     for page in ("<a " * 200_000, '<p a="' * 100_000 + ">x", "<" * 300_000, "<div>" * 20_000 + "x", "&" * 300_000):
         extract(page)
