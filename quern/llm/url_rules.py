@@ -1,9 +1,9 @@
 """URL filtering by association rules, in DataFrame functions only.
 
 Labelled URLs are sets of tokens plus one item for a bad label; FP-growth mines the sets that are frequent, and
-those that imply a bad label with enough confidence become rules. Rules are kept as an inverted index from token to
-rule: a URL's tokens look up their rules, and a rule fires when as many of its tokens are found as it has. Fixed
-allow and block rules by host and path come before mined ones.
+those that imply a bad label with enough confidence become rules, as many as there are. Rules are kept as an inverted
+index, a table from one token of each rule to the rule: a URL's tokens are joined with it, and a rule fires when the
+URL has all its tokens. Fixed allow and block rules by host and path come before mined ones.
 """
 
 from __future__ import annotations
@@ -22,19 +22,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
 
-#: Most mined rules, by confidence, that come to the driver to be pruned of redundant ones.
-CANDIDATES = 20_000
-
-
 @dataclass(frozen=True)
 class Mining:
-    """rows: labelled URLs that rules must hold in; share: of all labelled URLs; tokens: most in a rule; rules: most that are kept."""
+    """rows: labelled URLs that rules must hold in; share: of all labelled URLs; tokens: most in a rule (as in the query's SQL)."""
 
     rows: int = 20
     share: float = 1e-4
     confidence: float = 0.6
     tokens: int = 3
-    rules: int = 200
 
 
 def host_of(url: Column) -> Column:
@@ -62,8 +57,8 @@ def tokens_of(url: Column) -> Column:
     return F.array_distinct(F.concat(*named))
 
 
-def mine(labelled: DataFrame, how: Mining = Mining()) -> list[tuple[list[str], float]]:
-    """Rules (tokens, confidence) from rows (url, bad), the best ``how.rules`` of them: a bounded list.
+def rules_of(labelled: DataFrame, how: Mining = Mining()) -> DataFrame | None:
+    """Rules (items, confidence), all there are, from rows (url, bad); None where nothing can be a rule.
 
     A rule that another one with fewer of its tokens covers at the same or more confidence is left out. Null or
     empty URLs have no tokens; no rows, or no bad ones, give no rules.
@@ -71,40 +66,39 @@ def mine(labelled: DataFrame, how: Mining = Mining()) -> list[tuple[list[str], f
     baskets = written(labelled.select(F.when(F.coalesce(F.col("bad"), F.lit(False)), F.concat(tokens_of(F.col("url")), F.array(F.lit(BAD)))).otherwise(tokens_of(F.col("url"))).alias("items")).filter(F.size("items") > 0))
     n, bad = baskets.agg(F.count("*"), F.count(F.when(F.array_contains("items", BAD), 1))).first()
     if not bad:
-        return []
+        return None
     support = max(how.share, how.rows / n)
     if support > 1:
-        return []
+        return None
     found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=how.confidence).fit(baskets).associationRules
-    best = (
-        found.filter(F.col("consequent") == F.array(F.lit(BAD)))
-        .select(F.sort_array("antecedent").alias("items"), "confidence", "support")
-        .filter(F.size("items").between(1, how.tokens))
-        .orderBy(F.desc("confidence"), F.size("items"), F.desc("support"), F.array_join("items", " "))
-        .limit(CANDIDATES)
-        .collect()
-    )
-    rules: list[tuple[list[str], float]] = []
-    for r in best:
-        if len(rules) < how.rules and not any(set(items) <= set(r["items"]) for items, _ in rules):
-            rules.append((list(r["items"]), r["confidence"]))
-    return rules
-
-
-def fired(url: Column, rules: list[tuple[list[str], float]]) -> Column:
-    """The best confidence of the mined rules that hold for a URL, null where none does."""
-    if not rules:
-        return F.lit(None).cast("double")
-    index: dict[str, list[int]] = {}
-    for i, (items, _) in enumerate(rules):
-        for x in items:
-            index.setdefault(x, []).append(i)
-    lookup = F.create_map(*[c for token, at in index.items() for c in (F.lit(token), F.array(*map(F.lit, at)))])
-    needed, sure = F.array(*[F.lit(len(items)) for items, _ in rules]), F.array(*[F.lit(float(c)) for _, c in rules])
-    known = F.filter(tokens_of(url), lambda t: F.array_contains(F.array(*map(F.lit, index)), t))
-    hits = F.flatten(F.transform(known, lambda t: F.element_at(lookup, t)))
-    whole = F.filter(F.array_distinct(hits), lambda r: F.size(F.filter(hits, lambda x: x == r)) == F.get(needed, r))
-    return F.array_max(F.transform(whole, lambda r: F.get(sure, r)))
+    found = written(found.filter(F.col("consequent") == F.array(F.lit(BAD))).select(F.sort_array("antecedent").alias("items"), "confidence").filter(F.size("items").between(1, how.tokens)))
+    if found.isEmpty():
+        return None
+    parts = F.array(F.array().cast("array<string>"))  # all sets of a rule's tokens
+    parts = F.aggregate("items", parts, lambda sets, x: F.concat(sets, F.transform(sets, lambda s: F.concat(s, F.array(x)))))
+    smaller = found.select("items", "confidence", F.explode(parts).alias("part")).filter((F.size("part") > 0) & (F.size("part") < F.size("items")))
+    other = found.select(F.col("items").alias("part"), F.col("confidence").alias("sure"))
+    covered = smaller.join(other, "part").filter("sure >= confidence").select("items").distinct()
+    return written(found.join(covered, "items", "left_anti"))
+
+
+def mine(labelled: DataFrame, how: Mining = Mining()) -> list[tuple[list[str], float]]:
+    """``rules_of`` as a list, for a look at them: judging leaves them in their table."""
+    rules = rules_of(labelled, how)
+    return [] if rules is None else [(list(r["items"]), r["confidence"]) for r in rules.orderBy(F.desc("confidence"), F.size("items"), F.array_join("items", " ")).collect()]
+
+
+def fired(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """(url, confidence) of each distinct URL that a mined rule holds for: the best confidence of those rules.
+
+    A rule is looked up by its token that the fewest rules hold, so a token of most rules finds few of them.
+    """
+    tokens = rules.select("items", "confidence", F.explode("items").alias("token"))
+    held = tokens.groupBy("token").agg(F.count("*").alias("held"))
+    index = tokens.join(held, "token").groupBy("items", "confidence").agg(F.min(F.struct("held", "token"))["token"].alias("token"))
+    ours = urls.select("url").distinct().withColumn("_tokens", tokens_of(F.col("url")))
+    hits = ours.select("url", "_tokens", F.explode("_tokens").alias("token")).join(index, "token").filter(F.size(F.array_except("items", "_tokens")) == 0)
+    return hits.groupBy("url").agg(F.max("confidence").alias("confidence"))
 
 
 def fixed_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -121,13 +115,14 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, how: Mining = Mining
 
     ``labels`` (doc_id, quality, toxic) label the page of that id: bad is toxic, or quality 0; a page labelled more
     than once is bad if any label is. Null labels say nothing. Null URLs have an empty host and path and are
-    allowed. Repeated pages come out as often as they are; other columns are left out; no pages, no rows. Judging
-    needs no shuffle; mining reads the labelled pages only.
+    allowed. Repeated pages come out as often as they are; other columns are left out; no pages, no rows. Mining reads
+    the labelled pages only; where no rule is mined, judging needs no shuffle, else URLs are joined with the rules.
     """
     bad = labels.groupBy("doc_id").agg(F.max((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad")).filter(F.col("bad").isNotNull())
     ours = pages.select("page_id", "url")
-    mined = mine(ours.join(bad, ours["page_id"] == bad["doc_id"]).select("url", "bad"), how)
-    out = ours.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), fired(F.col("url"), mined).alias("confidence"))
+    mined = rules_of(ours.join(bad, ours["page_id"] == bad["doc_id"]).select("url", "bad"), how)
+    ours = ours.withColumn("confidence", F.lit(None).cast("double")) if mined is None else ours.join(fired(ours, mined), "url", "left")
+    out = ours.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "confidence")
     name, verdict = fixed_rule(F.col("host"), F.col("path"), rules)
     return out.select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, F.when(F.col("confidence").isNotNull(), "block").otherwise("allow")).alias("verdict"), "confidence")
 

@@ -231,6 +231,17 @@ def test_mined_rules_are_those_of_brute_force(spark):
         assert r.confidence == best
 
 
+def test_every_rule_counts_however_many_there_are(spark):
+    urls = [f"http://site{chr(97 + i // 26)}{chr(97 + i % 26)}.net/{w}" for i in range(260) for w in ("one", "two", "three")]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = pages.selectExpr("page_id as doc_id", "int(url like '%/three') as quality", "0 as toxic")
+    how = url_rules.Mining(rows=1, share=0.0)
+    assert len(url_rules.mine(pages.selectExpr("url", "url not like '%/three' as bad"), how)) > 200
+    sites = labels.filter("doc_id % 3 < 2").withColumn("toxic", F.expr("int(doc_id >= 30)")).withColumn("quality", F.lit(1))
+    got = {r.page_id: r for r in url_rules.judge(pages, sites, how=url_rules.Mining(rows=2, share=0.0, confidence=0.99)).collect()}
+    assert len(got) == len(urls) and {i for i, r in got.items() if r.verdict == "block"} == set(range(30, len(urls)))
+
+
 def test_url_edges(spark):
     pages = spark.createDataFrame([(1, None), (1, None), (None, "http://a.org/x"), (3, "")], "page_id long, url string")
     labels = spark.createDataFrame([(1, None, None), (3, 0, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
