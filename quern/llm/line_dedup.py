@@ -168,7 +168,9 @@ ROWS = 1 << 18
 
 
 def _occurrences(docs: DataFrame, how: Units) -> DataFrame:
-    """(digest, doc_id, text_hash, start, end, late): units of each text, the repeats among ROWS at a time already told.
+    """(digest, doc_id, text_hash, span): units of each text, the repeats among ROWS at a time already told.
+
+    A span is one long, to be shuffled small: start * 2^32 + length; of a late unit its complement, below 0.
 
     A repeat inside such a run is late whatever others hold, so only its earliest occurrence of a digest need meet the
     others: a line that a third of all documents share comes once a run.
@@ -179,11 +181,12 @@ def _occurrences(docs: DataFrame, how: Units) -> DataFrame:
         for digest, rank, start, _ in rows:
             if digest not in seen or (rank, start) < seen[digest]:
                 seen[digest] = (rank, start)
-        late = [seen[d] != (rank, start) for d, rank, start, _ in rows]
+        spans = [start << 32 | end - start for *_, start, end in rows]
+        spans = [span if seen[d] == (rank, start) else ~span for span, (d, rank, start, _) in zip(spans, rows)]
         digests = np.array([d for d, *_ in rows], dtype=np.uint64).view(np.int64)
         return pa.RecordBatch.from_arrays(
-            [pa.array(digests), pa.array([None if r[0] else r[1] for _, r, _, _ in rows], pa.int64()), pa.array([r[2] for _, r, _, _ in rows], pa.int64()), pa.array([x[2] for x in rows], pa.int64()), pa.array([x[3] for x in rows], pa.int64()), pa.array(late)],
-            names=["digest", "doc_id", "text_hash", "start", "end", "late"],
+            [pa.array(digests), pa.array([None if r[0] else r[1] for _, r, _, _ in rows], pa.int64()), pa.array([r[2] for _, r, _, _ in rows], pa.int64()), pa.array(spans, pa.int64())],
+            names=["digest", "doc_id", "text_hash", "span"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,14 +203,15 @@ def _occurrences(docs: DataFrame, how: Units) -> DataFrame:
             yield told(rows)
 
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, "digest long, doc_id long, text_hash long, start long, end long, late boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, "digest long, doc_id long, text_hash long, span long")
 
 
 def repeats(docs: DataFrame, how: Units = Units()) -> DataFrame:
-    """(doc_id, text_hash, start, end): every unit but the first of its digest, by doc_id (null last), then place."""
+    """(doc_id, text_hash, span): every unit but the first of its digest, by doc_id (null last), then place."""
     spark = docs.sparkSession
     found = _occurrences(docs, how)
-    dealt = found.repartition(partitions(spark), "digest", F.when(F.col("late"), F.col("start"))).sortWithinPartitions("digest", "late", F.asc_nulls_last("doc_id"), "text_hash", "start")
+    late = F.col("span") < 0
+    dealt = found.repartition(partitions(spark), "digest", F.when(late, F.col("span"))).sortWithinPartitions("digest", late, F.asc_nulls_last("doc_id"), "text_hash", "span")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, head = None, None
@@ -215,17 +219,18 @@ def repeats(docs: DataFrame, how: Units = Units()) -> DataFrame:
             if not batch.num_rows:
                 continue
             digest = batch.column("digest").to_numpy()
-            late = batch.column("late").to_numpy(zero_copy_only=False)
-            rank = np.stack([batch.column("doc_id").is_null().to_numpy(zero_copy_only=False).astype(np.int64), batch.column("doc_id").fill_null(0).to_numpy(), batch.column("text_hash").to_numpy(), batch.column("start").to_numpy()], axis=1)
+            span = batch.column("span").to_numpy()
+            late = span < 0
+            rank = np.stack([batch.column("doc_id").is_null().to_numpy(zero_copy_only=False).astype(np.int64), batch.column("doc_id").fill_null(0).to_numpy(), batch.column("text_hash").to_numpy(), span], axis=1)
             new = np.r_[digest[0] != before, digest[1:] != digest[:-1]]
             first = np.maximum.accumulate(np.where(new, np.arange(len(digest)), -1))
             heads = np.where((first >= 0)[:, None], rank[np.maximum(first, 0)], head if head is not None else rank[:1])
             keep = late | (rank != heads).any(axis=1)  # rows alike in all keep one fate
             before, head = digest[-1], heads[-1]
             if keep.any():
-                yield batch.filter(pa.array(keep)).select(["doc_id", "text_hash", "start", "end"])
+                yield batch.select(["doc_id", "text_hash"]).append_column("span", pa.array(np.where(late, ~span, span))).filter(pa.array(keep))
 
-    return dealt.mapInArrow(run, "doc_id long, text_hash long, start long, end long")
+    return dealt.mapInArrow(run, "doc_id long, text_hash long, span long")
 
 
 def dedup(docs: DataFrame, how: Units = Units()) -> DataFrame:
@@ -237,14 +242,16 @@ def dedup(docs: DataFrame, how: Units = Units()) -> DataFrame:
     """
     docs = docs.drop("removed")
     columns, at = docs.columns, docs.columns.index("text")
-    spans = repeats(docs, how).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
+    # grouped by what the join compares, so that the groups aren't shuffled again
+    ids = lambda c: (F.coalesce(c, F.lit(0).cast("long")), c.isNull())
+    spans = repeats(docs, how).select(*[c.alias(n) for c, n in zip(ids(F.col("doc_id")), ("_id", "_none"))], "text_hash", "span").groupBy("_id", "_none", "text_hash").agg(F.collect_set("span").alias("_spans"))
     own = docs.toDF(*[f"_{i}" for i in range(len(columns))]).withColumn("_mark", F.xxhash64(F.coalesce(F.col(f"_{at}"), F.lit(""))))
-    doc = own[f"_{columns.index('doc_id')}"].cast("long")
-    joined = own.join(spans, doc.eqNullSafe(spans["doc_id"]) & (own["_mark"] == spans["text_hash"]), "left").select(*[f"_{i}" for i in range(len(columns))], "_spans")
+    doc, none = ids(own[f"_{columns.index('doc_id')}"].cast("long"))
+    joined = own.join(spans, (doc == spans["_id"]) & (none == spans["_none"]) & (own["_mark"] == spans["text_hash"]), "left").select(*[f"_{i}" for i in range(len(columns))], "_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans_ = [merged([(x["start"], x["end"]) for x in s]) if s else [] for s in batch.column(len(columns)).to_pylist()]
+            spans_ = [merged([(x >> 32, (x >> 32) + (x & 0xFFFFFFFF)) for x in s]) if s else [] for s in batch.column(len(columns)).to_pylist()]
             texts = batch.column(at).to_pylist()
             new = [t if t is None or not s else cut(t, s) for t, s in zip(texts, spans_)]
             arrays = [pa.array(new, pa.string()) if i == at else batch.column(i) for i in range(len(columns))]
