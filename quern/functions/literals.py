@@ -7,6 +7,8 @@ from decimal import Decimal, InvalidOperation
 from typing import Any
 from uuid import UUID
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, DataType, DateType, DecimalType, DoubleType, FloatType, IntegralType, NumericType, StringType, TimestampNTZType, TimestampType, CharType, VarcharType
 
 
@@ -43,6 +45,14 @@ def fitted(value: Any, kind: DataType) -> Any:
     raise Unfit
 
 
+def literal(value: Any, kind: DataType) -> Column:
+    """``fitted`` as a column. A moment without a zone is one in the session's zone, whatever the driver's own is."""
+    value = fitted(value, kind)
+    if isinstance(value, datetime) and value.tzinfo is None:
+        return F.lit(value.isoformat(sep=" ")).cast("timestamp" if isinstance(kind, TimestampType) else "timestamp_ntz")
+    return F.lit(value)
+
+
 def _number(value: Any, kind: NumericType) -> Any:
     if isinstance(value, bool) or not isinstance(value, (int, float, Decimal, str)):
         raise Unfit

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-from quern.functions.literals import Unfit, fitted
+from quern.functions.literals import Unfit, literal
 from quern.functions.paths import Field, resolve
 from quern.plans.ir import COMPARISONS, QueryError, Regex
 from quern.plans.walk import walk
@@ -65,17 +65,17 @@ class ToColumn:
         if op in ("$in", "$nin"):
             return self._listed(at, field, op, value)
         try:
-            literal = F.lit(fitted(value, at.type))
+            fit = literal(value, at.type)
         except Unfit:
             if op in _ORDER:
                 raise QueryError(f"{field} ({at.type.simpleString()}) has no order with {value!r}") from None
             same = F.lit(False)
             return same if op == "$eq" else F.lit(True) if self.document else column.isNotNull()
         if op == "$eq":
-            return column == literal
+            return column == fit
         if op == "$ne":
-            return ~column.eqNullSafe(literal) if self.document else column != literal
-        return getattr(column, _ORDER[op])(literal)
+            return ~column.eqNullSafe(fit) if self.document else column != fit
+        return getattr(column, _ORDER[op])(fit)
 
     def _listed(self, at: Field, field: str, op: str, values: Any) -> Column:
         if not isinstance(values, (list, tuple, set, frozenset)):
@@ -88,7 +88,7 @@ class ToColumn:
                 patterns.append(matches(column, x))
             else:
                 try:
-                    known.append(fitted(x, at.type))
+                    known.append(literal(x, at.type))
                 except Unfit:
                     pass
         if op == "$in":

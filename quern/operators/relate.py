@@ -18,8 +18,11 @@ FEW = 10_000
 
 def load(df: DataFrame, query: Query, entity: str, catalog: Catalog, null_mode: str = "sql", depth: int = 5) -> DataFrame:
     """``df`` with a column for each relation of the query's ``$with``: a struct (null if there is none), or an array of
-    structs in the sub-query's order (empty if there are none). A sub-query's paging counts per parent."""
-    limit = query.controls.get("$limit")
+    structs in the sub-query's order (empty if there are none). A sub-query's paging counts per parent.
+
+    Few parents by a ``$limit`` are sent to the children's scan; only of an entity with a key, since without one, ties
+    could make another choice of parents there."""
+    limit = query.controls.get("$limit") if catalog.entity(entity).key else None
     for relation in query.relations():
         if depth < 1:
             raise QueryError(f"relations are nested too deep at {relation.name!r}")

@@ -67,15 +67,18 @@ class Engine:
         if controls.get("$having"):
             raise QueryError("$having needs $groupBy or aggregates")
         unpaged = df
-        order = order_of(df, controls.get("$sort"))
+        relations = [x.name for x in query.relations()]
+        sort = controls.get("$sort") or {}
+        if relations and (controls.get("$limit") is not None or controls.get("$skip")):
+            sort = dict(sort) | {k: 1 for k in self.catalog.entity(entity).key if k not in sort}  # the same page wherever it is planned
+        order = order_of(df, sort)
         if order:
             df = df.orderBy(*order)
         df = page(df, controls)
-        relations = [x.name for x in query.relations()]
         if relations:
             df = load(df, query, entity, self.catalog, self.null_mode, self.max_depth)
             if order:  # joins don't keep it
-                df = df.orderBy(*order_of(df, controls.get("$sort")))
+                df = df.orderBy(*order_of(df, sort))
         return Result(project(df, controls.get("$select"), relations), query, unpaged, mode)
 
 

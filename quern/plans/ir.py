@@ -11,6 +11,7 @@ import json
 import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from datetime import date, datetime
 from typing import Any
 
 #: The operators of comparisons, the logical keys and the aggregate functions every engine knows.
@@ -72,11 +73,13 @@ class Query:
 
     @classmethod
     def from_json(cls, text: str) -> Query:
-        return cls.of(json.loads(text))
+        """What ``to_json`` has written."""
+        return cls.of(json.loads(text, object_hook=_from_json))
 
     def to_json(self) -> str:
-        """The dict form as JSON; patterns, dates and other values without a JSON form as their text."""
-        return json.dumps(self.as_dict(), default=str, ensure_ascii=False)
+        """The dict form as JSON. Patterns and moments are ``{"$pattern": …, "$flags": …}`` and ``{"$date": …}``, and come
+        back as values; other values without a JSON form become their text."""
+        return json.dumps(self.as_dict(), default=_to_json, ensure_ascii=False)
 
     def relations(self) -> list[Query]:
         return [Query.of(x) for x in self.controls.get("$with") or ()]
@@ -89,6 +92,23 @@ class Query:
         return out | {"filter": self.filter, "controls": controls}
 
 
+def _to_json(value: Any) -> Any:
+    if isinstance(value, (Regex, re.Pattern)):
+        regex = Regex.of(value)
+        return {"$pattern": regex.pattern, "$flags": regex.flags}
+    if isinstance(value, date):
+        return {"$date": value.isoformat()}
+    return sorted(value) if isinstance(value, (set, frozenset)) else str(value)
+
+
+def _from_json(value: dict[str, Any]) -> Any:
+    if value.keys() == {"$pattern", "$flags"}:
+        return Regex(value["$pattern"], value["$flags"])
+    if value.keys() == {"$date"}:
+        return datetime.fromisoformat(value["$date"]) if len(value["$date"]) > 10 else date.fromisoformat(value["$date"])
+    return value
+
+
 def aggregate_name(entry: Mapping[str, Any]) -> str:
     """The output column of an aggregate: its alias, or its function and field."""
     return entry.get("$as") or f"{entry['$fn']}_{'star' if entry['$field'] == '*' else entry['$field']}"

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.operators.predicates import ToSql
 from quern.plans.compile import Engine, Result
-from quern.plans.ir import Regex
+from quern.plans.ir import Query, Regex
+from quern.plans.walk import get_insights, walk
 from quern.sources.catalog import Catalog
+from quern.sources.url import parse_filter, parse_url
+from quern.sources.url_builder import build_url
 
 #: The tables' keys, which break ties of order within a relation.
 KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "events": "event_id", "documents": "doc_id", "labels": "doc_id"}
@@ -22,6 +26,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     for name in (*KEYS, "lineitem"):
         out.read(name, f"{sf_dir}/{name}.parquet", key=(KEYS[name],) if name in KEYS else ())
     out.add("events_json", lambda s: s.read.parquet(f"{sf_dir}/events.parquet").withColumn("props", F.from_json("props", "k int")), key=("event_id",))
+    out.add("events_at", lambda s: s.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")), key=("event_id",))
     out.add("labelled", lambda s: s.read.parquet(f"{sf_dir}/documents.parquet").join(s.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id", "left"), key=("doc_id",))
     out.add("customer_nested", lambda s: s.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.struct("c_name", F.col("c_acctbal").alias("balance")).alias("info"), F.array(F.struct(F.col("c_mktsegment").alias("segment"))).alias("items")))
     out.relate("region", "nations", "nation", {"r_regionkey": "n_regionkey"}, many=True)
@@ -45,7 +50,7 @@ class Registered:
     """then: what makes flat rows of a result, for comparing. null_mode: of the engine."""
 
     entity: str
-    query: str | dict
+    query: str | dict | Query
     sql: str
     then: Callable[[Result], DataFrame] | None = None
     null_mode: str = "sql"
@@ -86,6 +91,7 @@ WORKLOAD: dict[str, Registered] = {
     "between_incl": Registered("part", "10<=p_size<=20&$select=p_partkey", "select p_partkey from part where p_size>=10 and p_size<=20"),
     "between_mixed": Registered("part", "10<p_size<=20&$select=p_partkey", "select p_partkey from part where p_size>10 and p_size<=20"),
     "between_ts": Registered("orders", "'1996-01-01'<=o_orderdate<'1996-07-01'&$select=o_orderkey", "select o_orderkey from orders where o_orderdate>=timestamp '1996-01-01' and o_orderdate<timestamp '1996-07-01'"),
+    "moment_zone": Registered("events_at", "'2024-01-02'<=ts<'2024-01-05T12:30:00'&$select=event_id", "select event_id from events where ts>=timestamp '2024-01-02' and ts<timestamp '2024-01-05 12:30:00'"),
     "multi_op": Registered("orders", "o_totalprice>=1000&o_totalprice<=2000&$select=o_orderkey", "select o_orderkey from orders where o_totalprice>=1000 and o_totalprice<=2000"),
     "or_precedence": Registered("orders", "o_totalprice>450000^o_orderstatus=P&o_totalprice<5000&$select=o_orderkey", "select o_orderkey from orders where o_totalprice>450000 or (o_orderstatus='P' and o_totalprice<5000)"),
     "grouping": Registered("orders", "(o_totalprice>450000^o_totalprice<5000)&o_orderstatus=P&$select=o_orderkey", "select o_orderkey from orders where (o_totalprice>450000 or o_totalprice<5000) and o_orderstatus='P'"),
@@ -117,6 +123,13 @@ WORKLOAD: dict[str, Registered] = {
     "with_many_empty": Registered("customer", "$select=c_custkey&$with=orders(o_totalprice>499000)", "select c_custkey,(select count(*) from orders where o_custkey=c_custkey and o_totalprice>499000) n from customer", lambda r: r.df.select("c_custkey", F.size("orders").cast("long").alias("n"))),
     "with_many_limit": Registered("customer", "$with=orders($sort=-o_totalprice,o_orderkey&$limit=3)", "select c_custkey,o_orderkey,o_totalprice from customer join (select * from orders qualify row_number() over(partition by o_custkey order by o_totalprice desc,o_orderkey)<=3) on c_custkey=o_custkey", flat("orders", "o_orderkey", "o_totalprice", outer="c_custkey")),
     "with_many_page": Registered("customer", "$sort=-c_acctbal,c_custkey&$limit=50&$select=c_custkey&$with=orders($sort=-o_totalprice&$skip=2&$limit=3&$select=o_orderkey)", "select c_custkey,o_orderkey from (select c_custkey from customer order by c_acctbal desc,c_custkey limit 50) join (select *,row_number() over(partition by o_custkey order by o_totalprice desc,o_orderkey) r from orders) on c_custkey=o_custkey where r>2 and r<=5", flat("orders", "o_orderkey", outer="c_custkey")),
+    "with_limit_ties": Registered("customer", "$sort=c_mktsegment&$limit=40&$select=c_custkey&$with=orders($select=o_orderkey)", "select c_custkey,o_orderkey from (select c_custkey from customer order by c_mktsegment,c_custkey limit 40) join orders on c_custkey=o_custkey", flat("orders", "o_orderkey", outer="c_custkey")),
+    "with_shorthand": Registered("nation", {"controls": {"$select": ["n_nationkey"], "$with": ["region"]}}, "select n_nationkey,r_name from nation join region on n_regionkey=r_regionkey", lambda r: r.df.select("n_nationkey", "region.r_name")),
+    "with_repeated": Registered("nation", "$select=n_nationkey&$with=region(),suppliers($select=s_suppkey),suppliers(s_acctbal>0)&$with=region($select=r_regionkey)", "select n_nationkey,r_name,s_suppkey from nation join region on n_regionkey=r_regionkey join supplier on s_nationkey=n_nationkey", lambda r: flat("suppliers", "s_suppkey", outer="n_nationkey r_name")(replace(r, df=r.df.withColumn("r_name", F.col("region.r_name"))))),
+    "text_built": Registered("orders", build_url(parse_url("(o_totalprice>450000^o_totalprice<5000)&o_orderpriority!{'1-URGENT'}&!(o_orderstatus=F)&$select=o_orderstatus,sum(o_totalprice):total,count(*):n&$groupBy=o_orderstatus&$having=n>0&$sort=-n&$limit=3"), encode=True), "select o_orderstatus,round(sum(o_totalprice),2) total,count(*) n from orders where (o_totalprice>450000 or o_totalprice<5000) and o_orderpriority<>'1-URGENT' and o_orderstatus<>'F' group by 1 order by n desc limit 3", rounded("total")),
+    "text_json": Registered("part", Query.from_json(parse_url("p_name~=/WIDGET$/i&p_size{1,2,3}&$sort=p_partkey&$limit=30&$select=p_partkey").to_json()), "select p_partkey from part where regexp_matches(p_name,'WIDGET$','i') and p_size in (1,2,3) order by p_partkey limit 30"),
+    "filter_sql_text": Registered("orders", "$select=o_orderkey,o_orderstatus,o_totalprice,o_orderpriority", "select o_orderkey,o_orderstatus,o_totalprice,o_orderpriority from orders where (o_orderstatus in ('F','P') or o_totalprice>450000) and o_orderpriority<>'5-LOW'", lambda r: r.df.where(walk(parse_filter("(o_orderstatus{F,P}^o_totalprice>450000)&o_orderpriority!='5-LOW'"), ToSql("`")))),
+    "insights": Registered("orders", "o_orderstatus=F&o_totalprice>1&$select=o_orderstatus,sum(o_totalprice):total,count(*)&$groupBy=o_orderstatus&$having=total>0&$sort=-total&$limit=1", "select * from (values ('o_orderstatus','$eq'),('o_orderstatus','$select'),('o_orderstatus','$groupBy'),('o_totalprice','$gt'),('o_totalprice','sum'),('total','$having'),('o_totalprice','$order'),('*','count')) t(field,used)", lambda r: r.df.sparkSession.createDataFrame([(f, u) for f, uses in get_insights(r.query).items() for u in uses], "field string, used string")),
     "with_agg": Registered("customer", "$with=orders($select=o_orderstatus,sum(o_totalprice):revenue&$groupBy=o_orderstatus&$having=revenue>1000000)", "select c_custkey,o_orderstatus,round(sum(o_totalprice),2) revenue from customer join orders on c_custkey=o_custkey group by 1,2 having sum(o_totalprice)>1000000", lambda r: flat("orders", "o_orderstatus", "revenue", outer="c_custkey")(r).withColumn("revenue", F.round("revenue", 2))),
     "with_nested": Registered("region", "$with=nations($with=suppliers(s_acctbal>5000))", "select r_name,n_name,s_suppkey from region join nation on n_regionkey=r_regionkey join supplier on s_nationkey=n_nationkey where s_acctbal>5000", lambda r: r.df.select("r_name", F.explode("nations").alias("n")).select("r_name", "n.n_name", F.explode("n.suppliers.s_suppkey").alias("s_suppkey"))),
     "flagship": Registered("orders", "o_orderdate>='1996-01-01'&o_orderstatus!=P&$select=sum(o_totalprice):total,count(*):n,o_orderpriority&$groupBy=o_orderpriority&$having=n>100&$sort=-total&$limit=10", "select o_orderpriority,round(sum(o_totalprice),2) total,count(*) n from orders where o_orderdate>=timestamp '1996-01-01' and o_orderstatus<>'P' group by 1 having count(*)>100 order by total desc limit 10", rounded("total")),

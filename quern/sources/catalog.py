@@ -54,8 +54,11 @@ class Catalog:
         schema = options.pop("schema", None)
 
         def load(spark: SparkSession) -> DataFrame:
+            nonlocal schema  # read from the files once; which files there are is looked up for each query
             reader = spark.read.format(format).options(**options)
-            return (reader.schema(schema) if schema is not None else reader).load(path)
+            df = (reader.schema(schema) if schema is not None else reader).load(path)
+            schema = df.schema
+            return df
 
         return self.add(name, load, key)
 

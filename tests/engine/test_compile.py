@@ -1,12 +1,14 @@
 """Running queries: null logic, literals, paths, relations, plans, streams."""
 
+import re
+import time
 from datetime import date, datetime
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from quern import Catalog, Engine, QueryError, Regex, check_aggregate, parse_url, register, write
+from quern import Catalog, Engine, Query, QueryError, Regex, check_aggregate, parse_url, register, write
 
 USER = "id long, name string, age int, score double, price decimal(10,2), active boolean, seen timestamp_ntz, day date, client struct<age:int,phone:string>, items array<struct<status:string,qty:int>>, tags array<string>, props map<string,int>"
 ROWS = [
@@ -149,7 +151,7 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
 
 
 def test_pages_per_parent_are_cut_before_they_are_shuffled(spark, sf_dir):
-    catalog = Catalog(spark).read("orders", f"{sf_dir}/orders.parquet", key=("o_orderkey",)).read("customer", f"{sf_dir}/customer.parquet")
+    catalog = Catalog(spark).read("orders", f"{sf_dir}/orders.parquet", key=("o_orderkey",)).read("customer", f"{sf_dir}/customer.parquet", key=("c_custkey",))
     catalog.relate("customer", "orders", "orders", {"c_custkey": "o_custkey"}, many=True)
     assert "WindowGroupLimit" in plan(Engine(catalog).query("customer", "$with=orders($sort=-o_totalprice&$limit=3)").df)
     few = plan(Engine(catalog).query("customer", "$sort=c_custkey&$limit=5&$with=orders").df)
@@ -182,3 +184,45 @@ def test_formats(spark, tmp_path, format):
     assert ids(Engine(Catalog(spark).read("t", str(tmp_path / "t"), format, **options)), "kind=y", "t") == [2]
     with pytest.raises(QueryError):
         Catalog(spark).read("t", "x", "exe")
+
+
+def test_moments_without_a_zone_are_the_sessions(spark, monkeypatch):
+    monkeypatch.setenv("TZ", "America/New_York")
+    time.tzset()
+    try:
+        rows = spark.sql("select 1 id, timestamp'2024-01-15 00:00:00 UTC' ts, date'2024-01-15' day union all select 2, timestamp'2024-01-15 05:00:00 UTC', date'2024-01-16'")
+        engine = Engine(Catalog(spark).add("t", rows))
+        for text, found in {"ts='2024-01-15'": [1], "ts{'2024-01-15 05:00:00'}": [2], "ts>='2024-01-15T01:00:00'": [2], "ts<'2024-01-15T00:00:01Z'": [1], "day>'2024-01-15T12:00:00'": [2], "ts<'2024-01-15T02:00:00+02:00'": []}.items():
+            assert ids(engine, text, "t") == found, text
+        assert ids(engine, {"filter": {"ts": datetime(2024, 1, 15)}}, "t") == [1]
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        assert ids(engine, "ts='2024-01-15'", "t") == [2]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        monkeypatch.undo()
+        time.tzset()
+
+
+def test_limited_parents_have_a_total_order_and_without_a_key_one_plan(spark, sf_dir):
+    def text(key):
+        catalog = Catalog(spark).read("orders", f"{sf_dir}/orders.parquet", key=("o_orderkey",)).read("customer", f"{sf_dir}/customer.parquet", key=key)
+        catalog.relate("customer", "orders", "orders", {"c_custkey": "o_custkey"}, many=True)
+        return plan(Engine(catalog).query("customer", "$sort=c_mktsegment&$limit=5&$with=orders").df)
+
+    assert set(re.findall(r"TakeOrderedAndProject\(limit=5, orderBy=\[([^\]]*)\]", re.sub(r"#\d+L?", "", text(("c_custkey",))))) == {"c_mktsegment ASC NULLS FIRST,c_custkey ASC NULLS FIRST"}
+    assert "LeftSemi" in text(("c_custkey",)) and "LeftSemi" not in text(()) and text(()).count("limit=5") == 1
+
+
+def test_json_keeps_patterns_and_moments():
+    query = parse_url("name~=/^a/i&$sort=-seen&$with=posts(n>1)")
+    query.filter |= {"label": Regex("x/y", "s"), "seen": {"$gte": datetime(2024, 1, 2, 3), "$lt": date(2025, 1, 1)}}
+    again = Query.from_json(query.to_json())
+    assert again.filter == query.filter and again.as_dict() == query.as_dict()
+
+
+def test_a_schema_is_read_once_and_files_each_time(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/t")
+    engine = Engine(Catalog(spark).read("t", f"{tmp_path}/t"))
+    assert engine.query("t", "").df.count() == 3
+    spark.range(4).write.mode("append").parquet(f"{tmp_path}/t")
+    assert engine.query("t", "id<100").df.count() == 7
