@@ -20,16 +20,23 @@ _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # Python workers import this package; where it isn't deployed to them, this helps those that see our folder
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).parents[2]))
+    context = spark.sparkContext
+    if context.master.startswith("local"):  # workers on this machine can import the package from where it is
+        context.environment.setdefault("PYTHONPATH", str(Path(__file__).parents[2]))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where that is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a session of one machine can do without
+    the setting (tests); it gets a temporary folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.fullmatch(r"local(\[[^-]*\])?", context.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
@@ -39,8 +46,46 @@ def written(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Bytes that one task of a shuffle should get.
+TASK = 64 << 20
+
+
+def partitions(spark: SparkSession, size: int = 0) -> int:
+    """Tasks of a shuffle of ``size`` bytes: no fewer than the session's setting."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK))
+
+
+def size_of(df: DataFrame) -> int:
+    """Bytes of the files that a table is read from, as the optimizer knows them; 0 where it knows nothing."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return size if size < 1 << 60 else 0
+
+
+#: Keys of more rows than this are joined apart, and rows that may be sent to every executor.
+HOT, FEW = 1000, 1_000_000
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
+    """``left`` (``total`` rows) with what ``right`` has for its key; ``right`` is one row a key, with ``n``, its rows in left.
+
+    The keys of many rows, of which there are at most 10,000, are sent to where left's rows are, so that no task gets
+    all rows of a key.
+    """
+    floor = max(HOT, total // 10_000)
+    hot = F.broadcast(right.filter(F.col("n") > floor))
+    return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(right.filter(F.col("n") <= floor), key))
+
+
+def among(docs: DataFrame, which: DataFrame, kind: str) -> DataFrame:
+    """A join of whole documents with written rows (doc_id, mark, …), mark being the hash of a document's text.
+
+    kind: left_anti, left_semi or inner, which adds the other columns. Few rows are sent to the documents; beyond FEW,
+    both are shuffled.
+    """
+    if which.count() <= FEW:
+        which = F.broadcast(which)
+    on = docs["doc_id"].cast("long").eqNullSafe(which["doc_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == which["mark"])
+    return docs.join(which, on, kind)
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -4,8 +4,9 @@ Fingerprints are strings of 64 bits, leaves of a binary trie. The join goes down
 the bits in which a pair's branches differ, and drops a pair as soon as that exceeds the error budget.
 
 Node pairs are dealt out to tasks by blocks of bits: of ``blocks`` blocks, two fingerprints within the radius differ
-by at most radius // blocks bits in one, so the pair meets in the cell of that block. Cells that hold too many
-fingerprints are cut into node pairs further down. A cell passes on a spanning forest of its links, one row a
+by at most radius // blocks bits in one, so the pair meets in the cell of that block. A cell with too many rows is cut
+into the pairs of nodes some bits further down that both exist and are within what is left of the budget, again and
+again until no task holds more than it should. A cell passes on a spanning forest of its links, one row a
 fingerprint, and components come from alternating large-star and small-star rounds over those rows.
 """
 
@@ -13,14 +14,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import binary, partitions, shingle_hashes, table, written
+from quern.llm.common import among, binary, lookup, partitions, shingle_hashes, table, text_or_empty, written
 
 SHINGLE = 3
 
@@ -29,18 +32,18 @@ SHINGLE = 3
 class Linking:
     """radius: most differing bits of a link. confirm: most differing bits of the second fingerprint (None: no second).
 
-    cell: most fingerprints of a cell before it is cut further down.
+    cell: most rows of a cell before it is cut ``step`` bits further down.
     """
 
     radius: int = 3
     blocks: int = 4
     confirm: int | None = None
-    cell: int = 4096
+    cell: int = 1 << 14
+    step: int = 6
 
 
-def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
-    """A bit is 1 if it is set in over half of the shingles' XXH64 (seed 42), repeats included; 0 without words."""
-    hashes = shingle_hashes(data, shingle)
+def majority(hashes: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the hashes; 0 of none."""
     if not len(hashes):
         return 0
     ones = np.zeros(64, dtype=np.int64)
@@ -49,25 +52,50 @@ def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
+    """The majority of the shingles' XXH64 (seed 42), repeats included; 0 without words."""
+    return majority(shingle_hashes(data, shingle))
+
+
+def _mixed(values: np.ndarray) -> np.ndarray:
+    """Other hashes of hashes (the finisher of splitmix64)."""
+    values = values + np.uint64(0x9E3779B97F4A7C15)
+    values = (values ^ values >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    values = (values ^ values >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return values ^ values >> np.uint64(31)
+
+
 def _signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, dtype=np.uint64).view(np.int64))
 
 
-def fingerprints(docs: DataFrame, second: int | None = None) -> DataFrame:
+def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, fp, fp2, node) of each row.
 
-    fp: the fingerprint as a signed long; fp2: one over shingles of ``second`` words, 0 without; mark: a hash of the
-    text, to tell apart rows of one doc_id; node: what the join links, one for each (fp, fp2).
+    fp: the fingerprint as a signed long; fp2: 0; mark: a hash of the text, to tell apart rows of one doc_id; node:
+    what the join links, here the fingerprint.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = binary(batch, "text")
-            more = [fingerprint(x, second) for x in texts] if second else [0] * len(texts)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), _signed([fingerprint(x) for x in texts]), _signed(more)], names=["doc_id", "mark", "fp", "fp2"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), _signed([fingerprint(x) for x in binary(batch, "text")])], names=["doc_id", "mark", "fp"])
+
+    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("mark"), "text").mapInArrow(run, "doc_id long, mark long, fp long")
+    return made.select("doc_id", "mark", "fp", F.lit(0).cast("long").alias("fp2"), F.col("fp").alias("node"))
+
+
+def sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """As ``fingerprints``, of 128 bits: fp and fp2 are majorities of two hashes; node: a hash of the set of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for data in binary(batch, "text"):
+                hashes = shingle_hashes(data, shingle)
+                rows.append((majority(hashes), majority(_mixed(hashes)), xxhash.xxh3_64_intdigest(np.unique(hashes).tobytes())))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), *(_signed(list(x)) for x in (zip(*rows) if rows else ([], [], [])))], names=["doc_id", "mark", "fp", "fp2", "node"])
 
-    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), "text").mapInArrow(run, "doc_id long, mark long, fp long, fp2 long")
-    return made.withColumn("node", F.xxhash64("fp", "fp2") if second else F.col("fp"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("mark"), "text").mapInArrow(run, "doc_id long, mark long, fp long, fp2 long, node long")
 
 
 def spans(blocks: int) -> list[tuple[int, int]]:
@@ -86,38 +114,66 @@ def masks(width: int, errors: int) -> list[int]:
     return [sum(1 << i for i in c) for n in range(1, errors + 1) for c in combinations(range(width), n)]
 
 
-def _dealt(nodes: DataFrame, how: Linking, deeper: int = 0, guests: bool = True) -> DataFrame:
-    """(cell, turned, fp, fp2, node, home): each node in its own cell of each block, and as a guest in near cells.
+def _cells(prefix: np.ndarray, block: np.ndarray, depth: np.ndarray) -> np.ndarray:
+    """A cell's key: a hash of its block and of the upper ``depth`` bits of what it holds (no harm if two share one)."""
+    return _mixed(prefix ^ _mixed(block.astype(np.uint64) << np.uint64(8) | depth.astype(np.uint64))).view(np.int64)
+
+
+ROW = "cell long, block int, depth int, prefix long, turned long, fp2 long, node long, home boolean"
+
+
+def _rows(prefix, block, depth, turned, fp2, node, home) -> pa.RecordBatch:
+    columns = [_cells(prefix, block, depth), block.astype(np.int32), depth.astype(np.int32), prefix.view(np.int64), turned.view(np.int64), fp2, node, home]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=[c.split()[0] for c in ROW.split(", ")])
+
+
+def _dealt(nodes: DataFrame, how: Linking) -> DataFrame:
+    """Rows (ROW): each node at home in its own cell of each block, and as a guest in near cells.
 
-    With ``deeper``, a cell's upper bits are a block and that many bits after it, which may differ by the radius.
     Of two cells that differ, the one with the smaller bits sends.
     """
-    near = how.radius // how.blocks if guests else 0
+    near = how.radius // how.blocks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = batch.column("fp").to_numpy().view(np.uint64)
-            rest = [batch.column(c) for c in ("fp", "fp2", "node")]
+            fp, fp2, node = (batch.column(c).to_numpy() for c in ("fp", "fp2", "node"))
             for b, (shift, width) in enumerate(spans(how.blocks)):
-                turned = rotated(fp, shift, width)
-                bits = width + deeper
-                value = turned >> np.uint64(64 - bits)
-                near_own = [0, *masks(width, near)]
-                own = [m << deeper | d for m in near_own for d in [0, *masks(deeper, how.radius)] if m.bit_count() + d.bit_count() <= how.radius]
-                for m in own:
+                turned = rotated(fp.view(np.uint64), shift, width)
+                down = np.uint64(64 - width)
+                value = turned >> down
+                for m in (0, *masks(width, near)):
                     target = value ^ np.uint64(m)
                     take = np.flatnonzero(target > value) if m else np.arange(len(fp))
-                    if not len(take):
-                        continue
-                    cell = target[take].astype(np.int64) | np.int64(b << 40) | np.int64(deeper << 50)
-                    block = target[take] >> np.uint64(deeper)
-                    keep = pa.array(take)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(cell), pa.array(block.astype(np.int64) | np.int64(b << 40)), pa.array(turned[take].view(np.int64)), *(x.take(keep) for x in rest), pa.array(np.full(len(take), not m))],
-                        names=["cell", "block", "turned", "fp", "fp2", "node", "home"],
-                    )
+                    if len(take):
+                        yield _rows(target[take] << down, np.full(len(take), b), np.full(len(take), width), turned[take], fp2[take], node[take], np.full(len(take), not m))
 
-    return nodes.select("fp", "fp2", "node").mapInArrow(run, "cell long, block long, turned long, fp long, fp2 long, node long, home boolean")
+    return nodes.select("fp", "fp2", "node").mapInArrow(run, ROW)
+
+
+def _cut(rows: DataFrame, how: Linking) -> DataFrame:
+    """Rows of cells as rows of the cells ``step`` bits further down: at home in one, guests in all within the budget."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block, depth, prefix, turned, fp2, node = (batch.column(c).to_numpy() for c in ("block", "depth", "prefix", "turned", "fp2", "node"))
+            home = batch.column("home").to_numpy(zero_copy_only=False)
+            prefix, turned = prefix.view(np.uint64), turned.view(np.uint64)
+            for at in np.unique(depth).tolist():  # few: blocks differ by a bit
+                here = np.flatnonzero(depth == at)
+                bits = min(how.step, 64 - at)
+                down = np.uint64(64 - at - bits)
+                spent = np.bitwise_count((turned[here] ^ prefix[here]) >> np.uint64(64 - at))
+                own = turned[here] >> down & np.uint64((1 << bits) - 1)
+                for m in (0, *masks(bits, min(bits, how.radius))):
+                    target = own ^ np.uint64(m)
+                    fits = spent + m.bit_count() <= how.radius
+                    if m:
+                        fits &= ~home[here] | (target > own)
+                    take = here[fits]
+                    if len(take):
+                        yield _rows(prefix[take] | target[fits] << down, block[take], np.full(len(take), at + bits), turned[take], fp2[take], node[take], home[take] & (not m))
+
+    return rows.mapInArrow(run, ROW)
 
 
 class Forest:
@@ -214,41 +270,90 @@ def trie_join(a: np.ndarray, b: np.ndarray, ranges: list[np.ndarray], depth: np.
         stack.append(tuple(np.concatenate(x) for x in zip(*parts)))
 
 
-def _links(cells: list[np.ndarray], how: Linking) -> tuple[np.ndarray, np.ndarray]:
-    """(node, least node of its local component) of whole cells; nodes alone are left out."""
-    cell, turned, fp2, node, home = cells
-    order = np.lexsort((turned, ~home, cell))
-    cell, turned, fp2, node, home = (x[order] for x in (cell, turned, fp2, node, home))
-    names, index = np.unique(node, return_inverse=True)
-    forest = Forest(len(names))
-    starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-    ends = np.r_[starts[1:], len(cell)]
-    homes = starts + np.add.reduceat(home.astype(np.int64), starts)
-    zero = np.zeros(len(starts), dtype=np.int64)
-    for b0, b1, same in ((starts, homes, True), (homes, ends, False)):
-        live = (starts < homes) & (b0 < b1)
-        ranges = [starts[live], homes[live], b0[live], b1[live]]
-        for i, j in trie_join(turned, turned, ranges, zero[live], zero[live], how.radius, same):
-            if how.confirm is not None:
-                near = np.bitwise_count(fp2[i] ^ fp2[j]) <= how.confirm
-                i, j = i[near], j[near]
-            forest.link(index[i], index[j])
-    roots = forest.roots(np.arange(len(names)))
-    linked = roots != np.arange(len(names))
-    return names[linked], names[roots[linked]]
-
-
-#: Rows of whole cells that are joined at a time.
-ROWS = 1 << 17
-
-
-def _joined(dealt: DataFrame, how: Linking) -> DataFrame:
+#: Pairs of a cell from which it is first sought whether one of its nodes is linked to most others.
+DENSE = 1 << 18
+
+
+class _Cells:
+    """Whole cells: rows (cell, turned, fp2, node, home) in order of cell, homes before guests, turned."""
+
+    def __init__(self, rows: list[np.ndarray], how: Linking) -> None:
+        cell, turned, fp2, node, home = rows
+        order = np.lexsort((turned, ~home, cell))
+        cell, self.turned, self.fp2, node, home = (x[order] for x in (cell, turned, fp2, node, home))
+        self.how = how
+        self.names, self.index = np.unique(node, return_inverse=True)
+        self.forest = Forest(len(self.names))
+        self.starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        self.ends = np.r_[self.starts[1:], len(cell)]
+        self.homes = self.starts + np.add.reduceat(home.astype(np.int64), self.starts)
+
+    def _link(self, i: np.ndarray, j: np.ndarray) -> None:
+        if self.how.confirm is not None:
+            near = np.bitwise_count(self.fp2[i] ^ self.fp2[j]) <= self.how.confirm
+            i, j = i[near], j[near]
+        self.forest.link(self.index[i], self.index[j])
+
+    def _across(self, a: np.ndarray, b: np.ndarray | None = None) -> None:
+        """Links between rows a and b, or among a; both in order of turned."""
+        other, zero = a if b is None else b, np.zeros(1, dtype=np.int64)
+        if len(a) and len(other):
+            ranges = [zero, zero + len(a), zero, zero + len(other)]
+            for i, j in trie_join(self.turned[a], self.turned[other], ranges, zero, zero, self.how.radius, b is None):
+                self._link(a[i], other[j])
+
+    def _dense(self, a: np.ndarray, guests: np.ndarray) -> None:
+        """Links among a, and from a to guests, as far as they connect anything.
+
+        Rows linked to one centre are connected, so no pair of them is compared: a cell of near copies of one text
+        takes time in proportion to its rows.
+        """
+        while len(a) * (len(a) + len(guests)) >= DENSE:
+            near = np.zeros(len(a), dtype=np.int64)
+            for values in (self.turned[a], self.fp2[a]):
+                near += np.bitwise_count(values ^ np.uint64(majority(values)))
+            centre = a[near.argmin()]
+            found = [np.bitwise_count(self.turned[x] ^ self.turned[centre]) <= self.how.radius for x in (a, guests)]
+            if self.how.confirm is not None:
+                found = [f & (np.bitwise_count(self.fp2[x] ^ self.fp2[centre]) <= self.how.confirm) for f, x in zip(found, (a, guests))]
+            if found[0].sum() * 8 < len(a):
+                break
+            for f, x in zip(found, (a, guests)):
+                self.forest.link(self.index[x[f]], np.full(f.sum(), self.index[centre]))
+            self._across(a[~found[0]], a[found[0]])
+            self._across(a[~found[0]], guests[found[1]])
+            self._across(a[found[0]], guests[~found[1]])
+            a, guests = a[~found[0]], guests[~found[1]]
+        self._across(a)
+        self._across(a, guests)
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """(node, least node of its local component); nodes alone are left out."""
+        n = self.homes - self.starts
+        dense = n * (self.ends - self.starts) >= DENSE
+        for b0, b1, same in ((self.starts, self.homes, True), (self.homes, self.ends, False)):
+            live = ~dense & (n > 0) & (b0 < b1)
+            zero = np.zeros(live.sum(), dtype=np.int64)
+            for i, j in trie_join(self.turned, self.turned, [self.starts[live], self.homes[live], b0[live], b1[live]], zero, zero, self.how.radius, same):
+                self._link(i, j)
+        for at in np.flatnonzero(dense):
+            self._dense(np.arange(self.starts[at], self.homes[at]), np.arange(self.homes[at], self.ends[at]))
+        roots = self.forest.roots(np.arange(len(self.names)))
+        linked = roots != np.arange(len(self.names))
+        return self.names[linked], self.names[roots[linked]]
+
+
+#: Rows of whole cells that are joined at a time, and bytes of a row.
+ROWS, WIDTH = 1 << 17, 40
+
+
+def _joined(dealt: DataFrame, how: Linking, rows: int) -> DataFrame:
     spark = dealt.sparkSession
-    sorted_ = dealt.select("cell", "turned", "fp2", "node", "home").repartition(partitions(spark), "cell").sortWithinPartitions("cell")
+    sorted_ = dealt.select("cell", "turned", "fp2", "node", "home").repartition(partitions(spark, rows * WIDTH), "cell").sortWithinPartitions("cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows):
-            a, b = _links(rows, how)
+            a, b = _Cells(rows, how).links()
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         held, n = [], 0
@@ -272,15 +377,21 @@ def _joined(dealt: DataFrame, how: Linking) -> DataFrame:
 def links(nodes: DataFrame, how: Linking) -> DataFrame:
     """Links (a, b), b < a, that connect all nodes (fp, fp2, node) within the radius: forests of each cell."""
     dealt = _dealt(nodes, how)
-    sizes = _dealt(nodes, how, guests=False).groupBy("block").count().filter(F.col("count") > how.cell)
-    most = sizes.agg(F.max("count")).first()[0]
-    if not most:
-        return _joined(dealt, how)
-    hot = written(sizes.select("block"))
-    deeper = min(8, max(1, (most // how.cell).bit_length()))
-    cool = dealt.join(hot, "block", "left_anti")
-    cut = _dealt(nodes, how, deeper).join(hot, "block", "left_semi")
-    return _joined(cool.unionByName(cut), how)
+    hot = lambda rows: rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("depth").alias("depth")).filter((F.col("n") > how.cell) & (F.col("depth") < 64)).select("cell")
+    rows = nodes.count() * sum(1 + len(masks(width, how.radius // how.blocks)) // 2 for _, width in spans(how.blocks))
+    large = written(hot(dealt))
+    if large.isEmpty():
+        return _joined(dealt, how, rows)
+    parts = [dealt.join(large, "cell", "left_anti")]
+    now = written(dealt.join(large, "cell", "left_semi"))
+    while not now.isEmpty():
+        deeper = _cut(now, how)
+        deeper = written(deeper.join(deeper.filter("home").select("cell").distinct(), "cell", "left_semi"))  # node pairs that exist
+        rows += deeper.count()
+        large = written(hot(deeper))
+        parts.append(deeper.join(large, "cell", "left_anti"))
+        now = written(deeper.join(large, "cell", "left_semi"))
+    return _joined(reduce(DataFrame.unionByName, parts), how, rows)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -293,54 +404,132 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         was = state
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
+        least = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"), F.count("*").alias("n"))
+        large = lookup(both, least, "a", 2 * state[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = lookup(large, least, "a", state[0]).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
         now = written(small)
 
 
-def near_duplicates(docs: DataFrame, how: Linking = Linking(), second: int | None = None) -> DataFrame:
+def _nodes(marked: DataFrame) -> DataFrame:
+    """(node, fp, fp2, least, n): its first document (unknown, doc_id, mark), null ids last, and its rows."""
+    document = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "mark")
+    return marked.groupBy("node", "fp", "fp2").agg(F.min(document).alias("least"), F.count("*").alias("n"))
+
+
+def near_duplicates(docs: DataFrame, how: Linking = Linking()) -> DataFrame:
     """(doc_id, fp, component_id) of each row: its fingerprint and the smallest doc_id that links can reach.
 
     Equal fingerprints are one node, however many rows share it; only (doc_id, fingerprint) is shuffled, never text.
     Null and empty texts have fingerprint 0 and link like any other. A null doc_id is never a component's smallest
-    unless the component has no other. Other columns are left out; repeated rows come out as often as they are; an
-    empty table gives an empty table.
+    unless the component has no other. Very long texts are read in parts. Other columns are left out; repeated rows
+    come out as often as they are; an empty table gives an empty table.
     """
-    marked, labelled = _labelled(docs, how, second)
-    return marked.join(labelled, "node").select("doc_id", "fp", F.col("least.doc_id").alias("component_id"))
+    marked = written(fingerprints(docs))
+    nodes = written(_nodes(marked))
+    found = written(components(links(nodes, how)))
+    firsts = nodes.join(found, "node").groupBy("root").agg(F.min("least").alias("_least"), F.count("*").alias("n"))
+    better = lookup(found, firsts, "root", found.count()).select("node", "_least")
+    labelled = nodes.join(better, "node", "left").select("node", "n", F.coalesce("_least", "least").alias("least"))
+    return lookup(marked, labelled, "node", marked.count()).select("doc_id", "fp", F.col("least.doc_id").alias("component_id"))
 
 
-def _labelled(docs: DataFrame, how: Linking, second: int | None) -> tuple[DataFrame, DataFrame]:
-    """The rows' fingerprints, and (node, least): the first document (unknown, doc_id, mark) of each node's component."""
-    marked = written(fingerprints(docs, second))
-    document = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "mark")
-    nodes = marked.groupBy("node", "fp", "fp2").agg(F.min(document).alias("least"))
-    found = written(components(links(nodes, how)))
-    firsts = nodes.join(found, "node").groupBy("root").agg(F.min("least").alias("_least"))
-    better = found.join(firsts, "root").select("node", "_least")
-    return marked, nodes.select("node", "least").join(better, "node", "left").select("node", F.coalesce("_least", "least").alias("least"))
+@dataclass(frozen=True)
+class Similar:
+    """Documents alike: sets of shingles of ``words`` words whose Jaccard similarity is ``share`` or more.
+
+    Pairs are proposed by ``how`` on either half of a fingerprint of 128 bits, the other half confirming. A pair at
+    0.8 differs in 10 bits of 64, give or take 3, so one half or the other is within 11 for 93 pairs in 100, and at
+    0.85 for 98; unlike texts differ in 32, give or take 4. What is proposed is then compared exactly.
+    """
+
+    words: int = 5
+    share: float = 0.8
+    how: Linking = Linking(radius=11, blocks=6, confirm=18)
 
 
-#: Links of texts whose sets of five-word shingles are about 0.8 alike or more. A pair at 0.8 differs in 10 bits of 64
-#: of its five-word fingerprint and 7 of its three-word one, give or take 3; unlike texts differ in 32, give or take 4.
-#: Of pairs at 0.8 or more in a table of prose these find nine in ten, and their groups nearly all.
-SIMILAR, SIMILAR_WORDS = Linking(radius=9, blocks=5, confirm=12), 5
+def _bits(name: str, n: Column, sums: str) -> Column:
+    """The majority's bits from their sums."""
+    return reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.col(f"{sums}{i}") * 2 > n, F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0).cast("long")) for i in range(64)]).alias(name)
 
 
-def keep_one(docs: DataFrame, how: Linking = SIMILAR, second: int | None = SIMILAR_WORDS) -> DataFrame:
-    """``docs`` with one document of each component, that of the smallest doc_id (null last); all columns stay.
+def _led(members: DataFrame) -> DataFrame:
+    """(root, leader, size): of each group (root, node, fp, fp2, least) the node nearest to the majority of all bits.
+
+    Near copies of one text are nearest to that text. Of two nodes, and among ties, the first document's.
+    """
+    ones = [F.sum(F.shiftrightunsigned(c, i).bitwiseAND(F.lit(1).cast("long"))).alias(f"{c}_{i}") for c in ("fp", "fp2") for i in range(64)]
+    size = F.count("*").alias("size")
+    large = members.groupBy("root").agg(size, *ones).filter("size > 2").select("root", _bits("m", F.col("size"), "fp_"), _bits("m2", F.col("size"), "fp2_"))
+    sizes = members.groupBy("root").agg(size)
+    far = F.bit_count(F.col("fp").bitwiseXOR(F.col("m"))) + F.bit_count(F.col("fp2").bitwiseXOR(F.col("m2")))
+    ranked = lookup(members, sizes.join(large, "root", "left").withColumn("n", F.col("size")), "root", members.count())
+    return ranked.groupBy("root").agg(F.min(F.struct(F.coalesce(far, F.lit(0)).alias("far"), "least", "node"))["node"].alias("leader"), F.max("size").alias("size"))
+
 
-    Rows alike in doc_id and text are one document and come out once. Otherwise as near_duplicates.
+def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(node, shingles): the distinct shingle hashes of the documents ``wanted`` (node, least)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingle_hashes(x, words)).view(np.int64) for x in binary(batch, "text")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    wanted = wanted.select("node", F.col("least.doc_id").alias("doc_id"), F.col("least.mark").alias("mark"))
+    return among(docs.select("doc_id", "text"), wanted, "inner").select("node", "text").mapInArrow(run, "node long, shingles array<long>")
+
+
+#: Members of a group that are compared with its leader in one task.
+SHARE = 4096
+
+
+def covered(docs: DataFrame, nodes: DataFrame, alike: Similar) -> DataFrame:
+    """(node): the nodes that are left out for a node that stays, and is as alike as it takes.
+
+    Rounds: proposed links make groups, each group's members are compared with its leader, and those that aren't
+    alike go on among themselves. Rounds end when no link is left, or when one leaves nothing out.
+    """
+    sets, out, left = None, [], nodes
+    while True:
+        turned = left.select(F.col("fp2").alias("fp"), F.col("fp").alias("fp2"), "node")
+        groups = written(components(links(left, alike.how).unionByName(links(turned, alike.how))))
+        if groups.isEmpty():
+            break
+        members = written(groups.join(left.select("node", "fp", "fp2", "least"), "node"))
+        if sets is None:
+            sets = written(_sets(docs, members, alike.words))
+        leaders = written(_led(members))
+        pairs = lookup(members.select("root", "node"), leaders.withColumn("n", F.col("size")), "root", members.count()).filter("node != leader").select("node", "leader", "size")
+        ways = F.floor(F.col("size") / SHARE) + 1  # a large group's members are dealt out to several copies of its leader's set
+        ours = pairs.join(sets, "node").withColumn("way", F.pmod(F.xxhash64("node"), ways))
+        theirs = leaders.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), ways - 1)).alias("way")).join(sets.withColumnsRenamed({"node": "leader", "shingles": "_shingles"}), "leader")
+        shared = F.size(F.array_intersect("shingles", "_shingles"))
+        gone = ours.join(theirs, ["leader", "way"]).filter(shared >= alike.share * (F.size("shingles") + F.size("_shingles") - shared)).select("node").distinct()
+        gone = written(gone)
+        if gone.isEmpty():
+            break
+        out.append(gone)
+        left = written(members.join(leaders.select(F.col("leader").alias("node")), "node", "left_anti").join(gone, "node", "left_anti"))
+    return reduce(DataFrame.unionByName, out) if out else nodes.select("node").limit(0)
+
+
+def keep_one(docs: DataFrame, alike: Similar = Similar()) -> DataFrame:
+    """``docs`` without the documents that are alike one that stays; all columns stay.
+
+    Documents with the same set of shingles are copies, of which the smallest doc_id stays (null last). Of a group of
+    others, the one most like all of them stays, and a member goes only if it is itself alike that one. Null and empty
+    texts are copies of each other. Rows alike in doc_id and text are one document and come out once; very long texts
+    are read in parts; an empty table gives an empty table.
     """
-    marked, labelled = _labelled(docs, how, second)
-    kept = labelled.select("least").distinct().select(F.col("least.doc_id").alias("_id"), F.col("least.mark").alias("_kept"))
-    out = docs.withColumn("_own", F.xxhash64(F.coalesce("text", F.lit(""))))
-    out = out.join(kept, out["doc_id"].eqNullSafe(kept["_id"]) & (out["_own"] == kept["_kept"]), "left_semi")
+    marked = written(sketches(docs, alike.words))
+    nodes = written(_nodes(marked))
+    fate = nodes.join(covered(docs, nodes, alike).withColumn("_gone", F.lit(True)), "node", "left").select("node", "n", "least", F.coalesce("_gone", F.lit(False)).alias("gone"))
+    own = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "mark")
+    dropped = lookup(marked, fate, "node", marked.count()).filter(F.col("gone") | ~own.eqNullSafe(F.col("least"))).select("doc_id", "mark").distinct()
+    out = among(docs, written(dropped), "left_anti")
     if not marked.groupBy("doc_id", "mark").count().filter("count > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id", "_own"])
-    return out.drop("_own")
+        out = out.withColumn("_own", F.xxhash64(text_or_empty())).dropDuplicates(["doc_id", "_own"]).drop("_own")
+    return out
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
