@@ -454,17 +454,16 @@ def _bits(name: str, n: Column, sums: str) -> Column:
 
 
 def _led(members: DataFrame) -> DataFrame:
-    """(root, leader, size): of each group (root, node, fp, fp2, least) the node nearest to the majority of all bits.
-
-    Near copies of one text are nearest to that text. Of two nodes, and among ties, the first document's.
-    """
+    """(root, leader, size): of each group (root, node, fp, fp2, least) its first document, and the node nearest to the
+    majority of all bits, to which near copies of one text are nearest if it is that text."""
     ones = [F.sum(F.shiftrightunsigned(c, i).bitwiseAND(F.lit(1).cast("long"))).alias(f"{c}_{i}") for c in ("fp", "fp2") for i in range(64)]
     size = F.count("*").alias("size")
     large = members.groupBy("root").agg(size, *ones).filter("size > 2").select("root", _bits("m", F.col("size"), "fp_"), _bits("m2", F.col("size"), "fp2_"))
     sizes = members.groupBy("root").agg(size)
     far = F.bit_count(F.col("fp").bitwiseXOR(F.col("m"))) + F.bit_count(F.col("fp2").bitwiseXOR(F.col("m2")))
     ranked = lookup(members, sizes.join(large, "root", "left").withColumn("n", F.col("size")), "root", members.count())
-    return ranked.groupBy("root").agg(F.min(F.struct(F.coalesce(far, F.lit(0)).alias("far"), "least", "node"))["node"].alias("leader"), F.max("size").alias("size"))
+    first, nearest = F.min(F.struct("least", "node"))["node"], F.min(F.struct(F.coalesce(far, F.lit(0)).alias("far"), "least", "node"))["node"]
+    return ranked.groupBy("root").agg(F.array_distinct(F.array(first, nearest)).alias("leaders"), F.max("size").alias("size")).select("root", F.explode("leaders").alias("leader"), "size")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -486,8 +485,9 @@ SHARE = 4096
 def covered(docs: DataFrame, nodes: DataFrame, alike: Similar) -> DataFrame:
     """(node): the nodes that are left out for a node that stays, and is as alike as it takes.
 
-    Rounds: proposed links make groups, each group's members are compared with its leader, and those that aren't
-    alike go on among themselves. Rounds end when no link is left, or when one leaves nothing out.
+    Rounds: proposed links make groups. A group's members are compared with its two candidates; the one that most
+    are alike (the first document's, if it is as good) stays, those go, and the others go on among themselves.
+    Rounds end when no link is left, or when one leaves nothing out.
     """
     sets, out, left = None, [], nodes
     while True:
@@ -499,17 +499,22 @@ def covered(docs: DataFrame, nodes: DataFrame, alike: Similar) -> DataFrame:
         if sets is None:
             sets = written(_sets(docs, members, alike.words))
         leaders = written(_led(members))
-        pairs = lookup(members.select("root", "node"), leaders.withColumn("n", F.col("size")), "root", members.count()).filter("node != leader").select("node", "leader", "size")
+        both = leaders.groupBy("root").agg(F.sort_array(F.collect_list("leader")).alias("leaders"), F.max("size").alias("size"), F.max("size").alias("n"))
+        pairs = lookup(members.select("root", "node"), both, "root", members.count()).select("root", "node", F.explode("leaders").alias("leader"), "size").filter("node != leader")
         ways = F.floor(F.col("size") / SHARE) + 1  # a large group's members are dealt out to several copies of its leader's set
         ours = pairs.join(sets, "node").withColumn("way", F.pmod(F.xxhash64("node"), ways))
         theirs = leaders.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), ways - 1)).alias("way")).join(sets.withColumnsRenamed({"node": "leader", "shingles": "_shingles"}), "leader")
         shared = F.size(F.array_intersect("shingles", "_shingles"))
-        gone = ours.join(theirs, ["leader", "way"]).filter(shared >= alike.share * (F.size("shingles") + F.size("_shingles") - shared)).select("node").distinct()
-        gone = written(gone)
-        if gone.isEmpty():
+        like = written(ours.join(theirs, ["leader", "way"]).filter(shared >= alike.share * (F.size("shingles") + F.size("_shingles") - shared)).select("root", "node", "leader").distinct())
+        if like.isEmpty():
             break
+        least = members.select(F.col("node").alias("leader"), F.col("least").alias("_least"))
+        counts = like.groupBy("root", "leader").agg(F.count("*").alias("n")).join(least, "leader")
+        best = counts.groupBy("root").agg(F.min(F.struct((-F.col("n")).alias("n"), "_least", "leader")).alias("b")).select("root", F.col("b.leader").alias("best"), (-F.col("b.n")).alias("n"))
+        gone = written(lookup(like, best.withColumn("n", F.col("n") * 2), "root", like.count()).filter("leader = best").select("node"))
         out.append(gone)
-        left = written(members.join(leaders.select(F.col("leader").alias("node")), "node", "left_anti").join(gone, "node", "left_anti"))
+        settled = best.select(F.col("best").alias("node")).unionByName(leaders.join(best, "root", "left_anti").select(F.col("leader").alias("node")))
+        left = written(members.join(settled, "node", "left_anti").join(gone, "node", "left_anti"))
     return reduce(DataFrame.unionByName, out) if out else nodes.select("node").limit(0)
 
 
