@@ -57,7 +57,7 @@ def partitions(spark: SparkSession, size: int = 0) -> int:
 
 def size_of(df: DataFrame) -> int:
     """Bytes of the files that a table is read from, as the optimizer knows them; 0 where it knows nothing."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return size if size < 1 << 60 else 0
 
 

@@ -2,8 +2,8 @@
 
 A unit is a line, or a sentence or clause of a longer line, or what follows a word chosen by its own hash (so that a
 passage pasted into the middle of a line is still cut at its own seams), together with the units after it until it has
-enough words. A whole line is a unit of its own as well, however short. Units are normalised,
-digests grouped over all documents, and every occurrence but the earliest ranked one is removed, its place in the
+enough words. A whole line is a unit of its own as well, from three words on. Units are normalised, digests of 128
+bits grouped over all documents, and every occurrence but the earliest ranked one is removed, its place in the
 original text retained.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from quern.llm.common import partitions, table
+from quern.llm.common import partitions, size_of, table
 
 #: A run of words that doesn't go on past a line's end, a sentence's end, or a capital letter. After 。！？ it ends
 #: without white space too.
@@ -31,6 +31,9 @@ _DENSE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u340
 _STOP = re.compile(r"[。！？]")
 
 
+#: The code points that part words, as ``str.split`` has it, and which of the first 256 are among them.
+_SPACES = np.array([i for i in range(0x3001) if chr(i).isspace()], dtype=np.uint32)
+_LOW = np.array([chr(i).isspace() for i in range(256)] + [False])
 _WORD = re.compile(r"\S++")
 _LINE = re.compile(r"\S(?:[^\n\r]*\S)?")
 
@@ -41,12 +44,16 @@ class Units:
 
     The words whose own hash is a multiple of ``every`` are seams too, so that seams depend on nothing around them;
     inside a word of a script without spaces, runs of ``gram`` characters whose hash is a multiple of twice that.
+    A whole line needs only ``line_words`` words or ``line_chars`` characters: a brace, a lone word or a number on a line
+    of its own says nothing of where it comes from.
     """
 
     words: int = 8
     chars: int = 80
     every: int = 4
     gram: int = 4
+    line_words: int = 3
+    line_chars: int = 16
 
 
 Piece = tuple[int, int, int, int]
@@ -79,28 +86,6 @@ def _dense_pieces(text: str, how: Units) -> tuple[list[Piece], list[Piece]]:
     return whole, parts
 
 
-def _pieces(text: str, how: Units) -> tuple[list[Piece], list[Piece]]:
-    """(start, end, words, characters of normalised text) between one seam and the next: without, and with hash seams."""
-    if _DENSE.search(text) or _STOP.search(text):
-        return _dense_pieces(text, how)
-    digest, every = xxhash.xxh3_64_intdigest, how.every
-    whole: list[Piece] = []
-    parts: list[Piece] = []
-    for m in _UNIT.finditer(text):
-        begin = start = end = m.start()
-        words = chars = all_words = all_chars = 0
-        for w in _WORD.finditer(text, begin, m.end()):
-            word = w[0].lower()
-            if words and digest(word) % every == 0:
-                parts.append((start, end, words, chars - 1))
-                all_words, all_chars = all_words + words, all_chars + chars
-                start, words, chars = w.start(), 0, 0
-            words, chars, end = words + 1, chars + len(word) + 1, w.end()
-        parts.append((start, end, words, chars - 1))
-        whole.append((begin, end, all_words + words, all_chars + chars - 1))
-    return whole, parts
-
-
 def _windows(found: list[Piece], how: Units) -> Iterator[tuple[int, int]]:
     """From each piece on, until there is enough."""
     n, last, words, chars = len(found), -1, 0, 0  # found[i..last] is the window
@@ -116,24 +101,82 @@ def _windows(found: list[Piece], how: Units) -> Iterator[tuple[int, int]]:
         words, chars = words - piece[2], chars - piece[3]
 
 
+def _runs(seams: np.ndarray, ends: np.ndarray, how: Units) -> tuple[np.ndarray, np.ndarray]:
+    """From each seam on, as word numbers [i, j), until there is enough.
+
+    seams: numbers of words, and the number of all; ends: where words end in the normalised text.
+    """
+    k = np.arange(len(seams) - 1)
+    begin = np.where(seams[:-1] > 0, ends[seams[:-1] - 1] + 1, 0)
+    by_words = np.searchsorted(seams, seams[:-1] + how.words)
+    # of pieces with a single space between them, each counts as if it stood alone
+    by_chars = np.searchsorted(ends[seams[1:] - 1] - np.arange(1, len(seams)), begin - k - 1 + how.chars) + 1
+    to = np.maximum(np.minimum(by_words, by_chars), k + 1)
+    enough = to < len(seams)
+    return seams[:-1][enough], seams[to[enough]]
+
+
 def units(text: str, how: Units = Units()) -> Iterator[tuple[int, int, str]]:
     """(start, end, normalised text) of each unit, a span once: one begins at every line, sentence, clause and hash seam.
 
     Those of lines, sentences and clauses end at such a seam too, whatever hash seams are between; those of hash seams
-    end at the next seam of any kind. A whole line is a unit by itself besides, however short. Normalised: lower case,
-    white space as single spaces. What is left at a text's end that is too short, and no whole line, is no unit; nor is
-    a text's only line if it is too short.
+    end at the next seam of any kind. A whole line is a unit by itself besides, if it has what ``Units`` asks of lines.
+    Normalised: lower case, white space as single spaces. What is left at a text's end that is too short, and no whole
+    line, is no unit; nor is a text's only line if it is too short.
     """
-    whole, parts = _pieces(text, how)
     lines = [m.span() for m in _LINE.finditer(text)]
     seen: set[tuple[int, int]] = set()
-    for spans in (_windows(whole, how), _windows(parts, how), lines):
-        if spans is lines and len(lines) == 1 and not seen:
-            return
-        for span in spans:
-            if span not in seen:
-                seen.add(span)
-                yield *span, " ".join(text[span[0] : span[1]].lower().split())
+    if _DENSE.search(text) or _STOP.search(text):
+        whole, parts = _dense_pieces(text, how)
+        for spans in (_windows(whole, how), _windows(parts, how), lines):
+            for a, b in spans:
+                unit = " ".join(text[a:b].lower().split())
+                if (a, b) not in seen and (spans is not lines or (len(lines) > 1 or seen) and _is_line(unit, how)):
+                    seen.add((a, b))
+                    yield a, b, unit
+        return
+    if not lines:
+        return
+    first, last = _words(text)
+    low = text.lower().split() if text.isascii() else [x.lower() for x in text.split()]
+    normal = " ".join(low)
+    ends = np.cumsum(np.fromiter(map(len, low), np.int64, len(low)) + 1) - 1
+    n, digest, every = len(low), xxhash.xxh3_64_intdigest, how.every
+    whole = np.searchsorted(first, [m.start() for m in _UNIT.finditer(text)])
+    seam = np.fromiter(map(digest, low), np.uint64, n) % np.uint64(every) == 0
+    seam[whole] = True
+    of_whole, of_parts = (i * (n + 1) + j for i, j in (_runs(np.append(x, n), ends, how) for x in (whole, np.flatnonzero(seam))))
+    found = np.concatenate([of_whole, of_parts[~_held(of_parts, of_whole)]])
+    if len(lines) > 1 or len(found):
+        i, j = np.searchsorted(first, [a for a, _ in lines]), np.searchsorted(last, [b for _, b in lines]) + 1
+        size = ends[j - 1] - np.where(i > 0, ends[i - 1] + 1, 0)
+        of_lines = (i * (n + 1) + j)[(j - i >= how.line_words) | (size >= how.line_chars)]
+        found = np.concatenate([found, of_lines[~_held(of_lines, of_whole) & ~_held(of_lines, of_parts)]])
+    i, j = np.divmod(found, n + 1)
+    begin = np.where(i > 0, ends[i - 1] + 1, 0)
+    for a, b, x, y in zip(first[i].tolist(), last[j - 1].tolist(), begin.tolist(), ends[j - 1].tolist()):
+        yield a, b, normal[x:y]
+
+
+def _held(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of a are in b, which rises."""
+    return b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a if len(b) else np.zeros(len(a), dtype=bool)
+
+
+def _words(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words begin and end."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    space = _LOW[np.minimum(code, 256)]
+    if not text.isascii():
+        far = code >= 256
+        space[far] = np.isin(code[far], _SPACES)
+    inside = np.r_[False, ~space, False]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return edges[::2], edges[1::2]
+
+
+def _is_line(unit: str, how: Units) -> bool:
+    return len(unit) >= how.line_chars or unit.count(" ") + 1 >= how.line_words
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -148,27 +191,47 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
     """``text`` without the spans. White space on both sides of a cut becomes one: a line break if either has one."""
-    out, at = [], 0
-    for a, b in spans:
-        out.append(text[at:a])
-        at = b
-    out.append(text[at:])
-    if len(out) == 1:
+    if not spans:
         return text
-    kept = out[0]
-    for part in out[1:]:
-        left, right = kept.rstrip(), part.lstrip()
-        gap = kept[len(left) :] + part[: len(part) - len(right)]
-        kept = left + ("" if not left or not right else "\n" if "\n" in gap else " ") + right
-    return kept
+    out: list[str] = []  # what stays, and between two of it what parts them
+    at = 0
+    gap = ""
+    for a, b in [*spans, (len(text), len(text))]:
+        part = text[at:a]
+        bare = part.strip()
+        if not bare:
+            gap += part
+        else:
+            lead, trail = part[: len(part) - len(part.lstrip())], part[len(part.rstrip()) :]
+            if at == 0:
+                out.append(lead + bare)
+            else:
+                if out:
+                    out.append("\n" if "\n" in gap + lead else " ")
+                out.append(bare)
+            gap = trail
+        at = b
+    return "".join(out) + (gap if bare else "")
 
 
 #: Units that are held at a time.
 ROWS = 1 << 18
+UNIT = "high long, low long, doc_id long, text_hash long, span long"
+
+
+def _late(high: np.ndarray, low: np.ndarray, rank: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which of some units have an earlier one of their digest among them. Rows alike in all have one fate."""
+    order = np.lexsort((start, rank, low, high))
+    h, l, r, s = (x[order] for x in (high, low, rank, start))
+    new = np.r_[True, (h[1:] != h[:-1]) | (l[1:] != l[:-1])]
+    head = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+    out = np.empty(len(h), dtype=bool)
+    out[order] = (r != r[head]) | (s != s[head])
+    return out
 
 
 def _occurrences(docs: DataFrame, how: Units) -> DataFrame:
-    """(digest, doc_id, text_hash, span): units of each text, the repeats among ROWS at a time already told.
+    """(high, low, doc_id, text_hash, span): units of each text, the repeats among ROWS at a time already told.
 
     A span is one long, to be shuffled small: start * 2^32 + length; of a late unit its complement, below 0.
 
@@ -176,53 +239,54 @@ def _occurrences(docs: DataFrame, how: Units) -> DataFrame:
     others: a line that a third of all documents share comes once a run.
     """
 
-    def told(rows: list[tuple[int, tuple, int, int]]) -> pa.RecordBatch:
-        seen: dict[int, tuple] = {}
-        for digest, rank, start, _ in rows:
-            if digest not in seen or (rank, start) < seen[digest]:
-                seen[digest] = (rank, start)
-        spans = [start << 32 | end - start for *_, start, end in rows]
-        spans = [span if seen[d] == (rank, start) else ~span for span, (d, rank, start, _) in zip(spans, rows)]
-        digests = np.array([d for d, *_ in rows], dtype=np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(digests), pa.array([None if r[0] else r[1] for _, r, _, _ in rows], pa.int64()), pa.array([r[2] for _, r, _, _ in rows], pa.int64()), pa.array(spans, pa.int64())],
-            names=["digest", "doc_id", "text_hash", "span"],
-        )
+    def told(digests: list[bytes], owners: list[int], spans: list[int], ranks: list[tuple]) -> pa.RecordBatch:
+        digest = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
+        owner, span = np.array(owners), np.array(spans, dtype=np.int64)
+        place = {r: i for i, r in enumerate(sorted(set(ranks)))}
+        late = _late(digest[:, 0], digest[:, 1], np.array([place[r] for r in ranks])[owner], span >> 32)
+        ids, marks = pa.array([None if r[0] else r[1] for r in ranks], pa.int64()), pa.array([r[2] for r in ranks], pa.int64())
+        owner = pa.array(owner)
+        return pa.RecordBatch.from_arrays([pa.array(digest[:, 0]), pa.array(digest[:, 1]), ids.take(owner), marks.take(owner), pa.array(np.where(late, ~span, span))], names=["high", "low", "doc_id", "text_hash", "span"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple[int, tuple, int, int]] = []
+        held = digests, owners, spans, ranks = [], [], [], []
         for batch in batches:
             for doc, mark, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text"))):
-                rank = (doc is None, doc or 0, mark)
+                ranks.append((doc is None, doc or 0, mark))
                 for start, end, unit in units(text, how):
-                    rows.append((xxhash.xxh3_64_intdigest(unit), rank, start, end))
-                    if len(rows) >= ROWS:
-                        yield told(rows)
-                        rows = []
-        if rows:
-            yield told(rows)
+                    digests.append(xxhash.xxh3_128_digest(unit))
+                    owners.append(len(ranks) - 1)
+                    spans.append(start << 32 | end - start)
+                    if len(spans) >= ROWS:
+                        yield told(*held)
+                        held = digests, owners, spans, ranks = [], [], [], [ranks[-1]]
+                        # the text goes on as the first of the next run
+        if spans:
+            yield told(*held)
 
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, "digest long, doc_id long, text_hash long, span long")
+    return docs.mapInArrow(run, UNIT)
 
 
-def repeats(docs: DataFrame, how: Units = Units()) -> DataFrame:
-    """(doc_id, text_hash, span): every unit but the first of its digest, by doc_id (null last), then place."""
+def repeats(docs: DataFrame, how: Units = Units(), size: int = 0) -> DataFrame:
+    """(doc_id, text_hash, span): every unit but the first of its digest, by doc_id (null last), then place.
+
+    Of (doc_id, text_hash, text). What a run has found late goes wherever there is room: no task gets all of a digest.
+    """
     spark = docs.sparkSession
-    found = _occurrences(docs, how)
     late = F.col("span") < 0
-    dealt = found.repartition(partitions(spark), "digest", F.when(late, F.col("span"))).sortWithinPartitions("digest", late, F.asc_nulls_last("doc_id"), "text_hash", "span")
+    found = _occurrences(docs, how).withColumn("_key", F.when(late, F.xxhash64("doc_id", "span")).otherwise(F.col("high")))
+    dealt = found.repartition(partitions(spark, 3 * size), "_key").drop("_key").sortWithinPartitions("high", "low", late, F.asc_nulls_last("doc_id"), "text_hash", "span")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, head = None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            digest = batch.column("digest").to_numpy()
+            digest = np.stack([batch.column("high").to_numpy(), batch.column("low").to_numpy()], axis=1)
             span = batch.column("span").to_numpy()
             late = span < 0
             rank = np.stack([batch.column("doc_id").is_null().to_numpy(zero_copy_only=False).astype(np.int64), batch.column("doc_id").fill_null(0).to_numpy(), batch.column("text_hash").to_numpy(), span], axis=1)
-            new = np.r_[digest[0] != before, digest[1:] != digest[:-1]]
+            new = np.r_[before is None or (digest[0] != before).any(), (digest[1:] != digest[:-1]).any(axis=1)]
             first = np.maximum.accumulate(np.where(new, np.arange(len(digest)), -1))
             heads = np.where((first >= 0)[:, None], rank[np.maximum(first, 0)], head if head is not None else rank[:1])
             keep = late | (rank != heads).any(axis=1)  # rows alike in all keep one fate
@@ -237,15 +301,20 @@ def dedup(docs: DataFrame, how: Units = Units()) -> DataFrame:
     """``docs`` with its texts cut, and ``removed``, the original (start, end) of what went, in code points.
 
     Null and empty texts stay as they are. Rows that share doc_id and text are one document: they have the same
-    result. Columns named ``removed`` are replaced; others stay. An empty table gives an empty table. Texts are
-    shuffled once, by document; digests once.
+    result. Columns named ``removed`` are replaced; others stay. An empty table gives an empty table. A very long text
+    is held whole, its units a bounded number at a time. Texts are shuffled once, by document; digests once.
     """
     docs = docs.drop("removed")
     columns, at = docs.columns, docs.columns.index("text")
+    size = size_of(docs)
+    # where ids tell documents apart, no hash of the text need be shuffled with each unit
+    known = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count().filter("count > 1 or doc_id is null").isEmpty()
+    mark = lambda text: F.lit(0).cast("long") if known else F.xxhash64(F.coalesce(text, F.lit("")))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark(F.col("text")).alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
     # grouped by what the join compares, so that the groups aren't shuffled again
     ids = lambda c: (F.coalesce(c, F.lit(0).cast("long")), c.isNull())
-    spans = repeats(docs, how).select(*[c.alias(n) for c, n in zip(ids(F.col("doc_id")), ("_id", "_none"))], "text_hash", "span").groupBy("_id", "_none", "text_hash").agg(F.collect_set("span").alias("_spans"))
-    own = docs.toDF(*[f"_{i}" for i in range(len(columns))]).withColumn("_mark", F.xxhash64(F.coalesce(F.col(f"_{at}"), F.lit(""))))
+    spans = repeats(plain, how, size).select(*[c.alias(n) for c, n in zip(ids(F.col("doc_id")), ("_id", "_none"))], "text_hash", "span").groupBy("_id", "_none", "text_hash").agg(F.collect_set("span").alias("_spans"))
+    own = docs.toDF(*[f"_{i}" for i in range(len(columns))]).withColumn("_mark", mark(F.col(f"_{at}")))
     doc, none = ids(own[f"_{columns.index('doc_id')}"].cast("long"))
     joined = own.join(spans, (doc == spans["_id"]) & (none == spans["_none"]) & (own["_mark"] == spans["text_hash"]), "left").select(*[f"_{i}" for i in range(len(columns))], "_spans")
 
