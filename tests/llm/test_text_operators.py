@@ -88,10 +88,11 @@ def test_ratios_are_sums_by_tag_path(page):
 
 def test_the_ratios_decide_without_any_name(spark, sf_dir):
     flat = lambda blocks: {b.path: 1.0 for b in blocks}
-    for (page,) in spark.read.parquet(f"{sf_dir}/pages.parquet").select("html").collect():
-        text, alone, neither = extract(page).split("\n"), extract(page, named=False).split("\n"), extract(page, ratios=flat, named=False).split("\n")
-        assert set(text) <= set(alone) and len(alone) <= len(text) + 3  # an advert or a footer that reads like prose
-        assert len(neither) >= len(text) + 5  # menus stay
+    pages = [r[0] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("html").collect()]
+    found = [[extract(page, **how).split("\n") for how in ({}, {"named": False}, {"named": False, "ratios": flat})] for page in pages]
+    assert all(set(text) <= set(alone) for text, alone, _ in found)
+    more, most = ([len(x[i]) - len(x[0]) for x in found] for i in (1, 2))
+    assert sum(n <= 2 for n in more) >= 0.95 * len(pages) and min(most) >= 5  # a footer reads like prose; menus stay without ratios
     cards = "".join(f"<section class=x{i}><a>Card {i}</a></section>" for i in range(9))
     assert extract(f"<body>{cards}<div class=y>{ARTICLE}</div>{cards}</body>") == TEXT
     assert extract(f"<body>{cards}<div class=y>{ARTICLE}</div></body>", ratios=flat) != TEXT
