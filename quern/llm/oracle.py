@@ -80,7 +80,7 @@ def url_sql(how: Mining = Mining()) -> str:
     if how.tokens != 3:
         raise ValueError("written out for three tokens")
     rule = " ".join(f"when (host = '{h}' or host like '%.{h}') and starts_with(path, '{p}') then '{{}}'" .replace("{}", f"{h}{p}|{v}") for v, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2])))
-    enough = f"count(*) filter (bad) >= greatest({how.rows}, {how.share} * (select count(*) from basket)) and count(*) filter (bad) / count(*) >= {how.confidence}"
+    enough = f"count(*) filter (bad) >= greatest({how.rows}, {how.share} * (select count(*) from basket)) and count(*) filter (bad) / count(*) >= greatest({how.confidence}, (select {how.lift} * sum(b.bad::int) / count(*) from basket b))"
     parts = "regexp_replace(host, '[:@].*', '')"
     return f"""
 with u as (

@@ -24,11 +24,14 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 
 @dataclass(frozen=True)
 class Mining:
-    """rows: labelled URLs that rules must hold in; share: of all labelled URLs; tokens: most in a rule (as in the query's SQL)."""
+    """rows: bad URLs that a rule must hold in, at least ``share`` of all labelled ones; confidence: least share of the
+    labelled URLs with a rule's tokens that are bad, at least ``lift`` times the share of all; tokens: most in a rule
+    (as in the query's SQL)."""
 
-    rows: int = 20
+    rows: int = 5
     share: float = 1e-4
-    confidence: float = 0.6
+    confidence: float = 0.5
+    lift: float = 1.5
     tokens: int = 3
 
 
@@ -68,9 +71,9 @@ def rules_of(labelled: DataFrame, how: Mining = Mining()) -> DataFrame | None:
     if not bad:
         return None
     support = max(how.share, how.rows / n)
-    if support > 1:
+    if support > 1 or how.lift * bad > n:
         return None
-    found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=how.confidence).fit(baskets).associationRules
+    found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=max(how.confidence, min(1.0, how.lift * bad / n))).fit(baskets).associationRules
     found = written(found.filter(F.col("consequent") == F.array(F.lit(BAD))).select(F.sort_array("antecedent").alias("items"), "confidence").filter(F.size("items").between(1, how.tokens)))
     if found.isEmpty():
         return None

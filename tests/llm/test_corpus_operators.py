@@ -291,7 +291,7 @@ def test_mined_rules_are_those_of_brute_force(spark):
         bad.append(rng.random() < (0.95 if "casino" in host and word == "bet" else 0.8 if query == "?ref=1" and word == "x" else 0.05))
     pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
     labels = spark.createDataFrame([(i, int(not b), 0) for i, b in enumerate(bad)], "doc_id long, quality int, toxic int")
-    how = url_rules.Mining(rows=8)
+    how = url_rules.Mining(rows=8, confidence=0.6, lift=1.0)
     tokens = {r[0]: set(r[1]) for r in pages.select("page_id", url_rules.tokens_of(F.col("url"))).collect()}
     baskets = [tokens[i] for i in range(400)]
     rules = url_rules.mine(pages.join(labels, F.col("page_id") == F.col("doc_id")).select("url", (F.col("quality") == 0).alias("bad")), how)
@@ -308,13 +308,27 @@ def test_every_rule_counts_however_many_there_are(spark):
     urls = [f"http://site{chr(97 + i // 26)}{chr(97 + i % 26)}.net/{w}" for i in range(260) for w in ("one", "two", "three")]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     labels = pages.selectExpr("page_id as doc_id", "int(url like '%/three') as quality", "0 as toxic")
-    how = url_rules.Mining(rows=1, share=0.0)
+    how = url_rules.Mining(rows=1, share=0.0, lift=1.0)
     assert len(url_rules.mine(pages.selectExpr("url", "url not like '%/three' as bad"), how)) > 200
     sites = labels.filter("doc_id % 3 < 2").withColumn("toxic", F.expr("int(doc_id >= 30)")).withColumn("quality", F.lit(1))
-    got = {r.page_id: r for r in url_rules.judge(pages, sites, how=url_rules.Mining(rows=2, share=0.0, confidence=0.99)).collect()}
+    got = {r.page_id: r for r in url_rules.judge(pages, sites, how=url_rules.Mining(rows=2, share=0.0, confidence=0.99, lift=1.0)).collect()}
     assert len(got) == len(urls) and {i for i, r in got.items() if r.verdict == "block"} == set(range(30, len(urls)))
 
 
+def test_rules_must_be_above_the_share_of_all(spark):
+    pages = spark.createDataFrame([(i, f"http://{'ab'[i % 2]}.net/x") for i in range(100)], "page_id long, url string")
+    for bad, blocked in ((lambda i: i % 2 == 0 or i % 10 < 6, 0), (lambda i: i % 2 == 0, 50)):
+        labels = spark.createDataFrame([(i, int(not bad(i)), 0) for i in range(100)], "doc_id long, quality int, toxic int")
+        assert url_rules.judge(pages, labels).filter("verdict = 'block'").count() == blocked
+
+
+def test_mined_rules_decide_verdicts_of_the_tables(spark):
+    got = url_rules.op7_url_rules(spark, "/root/testdata/sf0.1")
+    by = {(r[0], r[1]): r[2] for r in got.groupBy("verdict", F.col("rule").isNull()).count().collect()}
+    assert by["block", True] > 0 and by["allow", True] > by["block", True]
+    assert got.filter("rule is null and (confidence is not null) <> (verdict = 'block')").isEmpty()
+
+
 def test_url_edges(spark):
     pages = spark.createDataFrame([(1, None), (1, None), (None, "http://a.org/x"), (3, "")], "page_id long, url string")
     labels = spark.createDataFrame([(1, None, None), (3, 0, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
