@@ -9,11 +9,12 @@ questions pass that check, texts that only share a frame don't.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import table, written
+from quern.llm.common import among, table, written
 
 NUM, UNIT, NAME = "<num>", "<unit>", "<name>"
 #: Units that become a placeholder after a number.
@@ -26,13 +27,15 @@ BETWEEN = r"(?:[\s!-+\-/:-@\[-`{-~]|[.,](?!\d))+"
 class Matching:
     """window: words; literals: fewest in a window for its template to be sought; share: of an item that leaks.
 
-    broadcast: most benchmark windows that go to every executor at once; beyond, the join runs in blocks of it.
+    broadcast, bytes: most benchmark windows, and bytes of them, that go to every executor at once; beyond, the join runs
+    in blocks of that.
     """
 
     window: int = 8
     literals: int = 4
     share: float = 0.5
     broadcast: int = 500_000
+    bytes: int = 128 << 20
 
 
 def placeholder(w: Column) -> Column:
@@ -50,13 +53,14 @@ def _plain(words: str) -> Column:
     return F.transform(words, lambda w: F.xxhash64(F.lower(w)))
 
 
-def _windows(hashes: str, size: int) -> Column:
+def _windows(hashes: str, size: int, kind: str) -> Column:
+    """The key of each window: a hash of its words' hashes and of its kind (windows of other sizes hash otherwise)."""
     n = F.size(hashes)
-    return F.when(n >= size, F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.xxhash64(F.slice(hashes, i, size))))
+    return F.when(n >= size, F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.xxhash64(F.slice(hashes, i, size), F.lit(kind))))
 
 
-def _sought(items: DataFrame, size: int, how: Matching) -> dict[str, DataFrame]:
-    """The windows of items to look for, by kind: templates, and plain words for items that are mostly placeholders."""
+def _sought(items: DataFrame, size: int, how: Matching) -> dict[str, tuple[DataFrame, int]]:
+    """The windows of items to look for, and how many, by kind: templates, and plain words for items that are mostly placeholders."""
     ours = items.filter(F.least("item_words", F.lit(how.window)) == size)
     literal = lambda part: F.size(F.filter(part, lambda w: placeholder(w).isNull())) >= min(how.literals, size)
     starts = F.filter(F.sequence(F.lit(1), F.col("item_words") - size + 1), lambda i: literal(F.slice("_item", i, size)))
@@ -64,9 +68,10 @@ def _sought(items: DataFrame, size: int, how: Matching) -> dict[str, DataFrame]:
     ours = ours.withColumn("_rich", held >= how.share * F.col("item_words"))
     out = {}
     for kind, hashes, rows in (("template", _template("_item"), ours.filter("_rich")), ("plain", _plain("_item"), ours.filter(~F.col("_rich")))):
-        rows = rows.withColumn("_h", hashes).select("item_id", "item_hash", "item_words", "_item", F.posexplode(_windows("_h", size)).alias("_at", "_key"))
+        rows = rows.withColumn("_h", hashes).select("item_id", "item_hash", "item_words", "_item", F.posexplode(_windows("_h", size, kind)).alias("_at", "_key"))
         rows = rows.select("item_id", "item_hash", "item_words", (F.col("_at") + 1).alias("item_at"), "_key", F.slice("_item", F.col("_at") + 1, size).alias("item_slice"))
-        out[kind] = rows.filter(literal(F.col("item_slice"))) if kind == "template" else rows
+        rows = rows.filter(literal(F.col("item_slice"))) if kind == "template" else rows
+        out[kind] = rows, rows.count()
     return out
 
 
@@ -77,32 +82,40 @@ def leaks(documents: DataFrame, benchmark: DataFrame, how: Matching = Matching()
     words; ``exchanged`` slots have another value than the item. text_hash tells apart rows that share a doc_id;
     rows alike in both give one result. Null or empty texts and items hold nothing; an item of fewer words than a
     window is one window; items that share an item_id are told apart by their texts; an empty table on either side
-    gives no rows; other columns are left out. Documents aren't shuffled: only matched windows are.
+    gives no rows; other columns are left out; a very long text is one row, compared whole. Documents aren't shuffled: only
+    matched windows are.
     """
     split = F.split(F.coalesce("_text", F.lit("")), BETWEEN)
     items = benchmark.select("item_id", F.col(text).alias("_text")).distinct().select("item_id", F.xxhash64("_text").alias("item_hash"), F.filter(split, lambda w: w != "").alias("_item")).withColumn("item_words", F.size("_item"))
     items = written(items.filter("item_words > 0"))
     sizes = [r[0] for r in items.select(F.least("item_words", F.lit(how.window)).alias("n")).distinct().collect()]  # at most window numbers
     docs = documents.select("doc_id", F.col(text).alias("_text")).withColumn("_words", split).withColumn("text_hash", F.xxhash64("_text"))
+    # one pass over the documents for all sizes and kinds: their windows' keys stand one after another in one array, and a
+    # match's place in it, less the windows of the kinds before, is its place in the document
+    before, keys, sought = F.lit(0), [], []
+    for size in sorted(sizes):
+        for kind, (some, n) in _sought(items, size, how).items():
+            if n:
+                keys.append(F.coalesce(_windows(f"_{kind}", size, kind), F.array().cast("array<long>")))
+                sought.append((some.withColumn("_kind", F.lit(len(sought))), before, size))
+                before = before + F.greatest(F.lit(0), F.size("_words") - size + 1)
+    empty = "doc_id long, text_hash long, item_id long, covered int, item_words int, coverage double, slots int, exchanged int"
+    if not sought:
+        return documents.sparkSession.createDataFrame([], empty)
+    wanted = written(reduce(DataFrame.unionByName, [x for x, _, _ in sought]))
+    n, size = wanted.agg(F.count("*"), F.sum(F.size("item_slice") * 24 + F.length(F.array_join("item_slice", "")) + 64)).first()
+    blocks = max(-(-n // how.broadcast), -(-size // how.bytes))
+    # keys in a projection of their own: exploding and probing then compile to one loop that copies a row's words only
+    # where a window matches; outer, or a filter on the keys' number would compute them again for each window
+    rows = docs.select("doc_id", "text_hash", "_words", _template("_words").alias("_template"), _plain("_words").alias("_plain"))
+    rows = rows.select("doc_id", "text_hash", "_words", F.concat(*keys).alias("_keys")).select("doc_id", "text_hash", "_words", F.posexplode_outer("_keys").alias("_at", "_key"))
+    place = reduce(lambda other, x: F.when(F.col("_kind") == x[0], F.col("_at") - x[1][1]).otherwise(other), enumerate(sought), F.lit(None).cast("int"))
     found = []
-    for size in sizes:
-        for kind, sought in _sought(items, size, how).items():
-            n = sought.count()
-            blocks = -(-n // how.broadcast)
-            if not n:
-                continue
-            rows = docs.select("doc_id", "text_hash", "_words", (_template if kind == "template" else _plain)("_words").alias("_h"))
-            # keys in a projection of their own: exploding and probing then compile to one loop that copies a row's words only
-            # where a window matches; outer, or a filter on the keys' number would compute them again for each window
-            rows = rows.select("doc_id", "text_hash", "_words", _windows("_h", size).alias("_keys")).select("doc_id", "text_hash", "_words", F.posexplode_outer("_keys").alias("_at", "_key"))
-            for block in range(blocks):
-                some = sought if blocks == 1 else sought.filter(F.pmod("_key", F.lit(blocks)) == block)
-                found.append(rows.join(F.broadcast(some), "_key").select("doc_id", "text_hash", "item_id", "item_hash", "item_words", "item_at", (F.col("_at") + 1 - F.col("item_at")).alias("_shift"), "item_slice", F.slice("_words", F.col("_at") + 1, size).alias("doc_slice")))
-    if not found:
-        return documents.sparkSession.createDataFrame([], "doc_id long, text_hash long, item_id long, covered int, item_words int, coverage double, slots int, exchanged int")
-    matched = found[0]
-    for more in found[1:]:
-        matched = matched.unionByName(more)
+    for block in range(blocks):
+        some = wanted if blocks == 1 else wanted.filter(F.pmod("_key", F.lit(blocks)) == block)
+        hits = rows.join(F.broadcast(some), "_key").withColumn("_at", place)
+        found.append(hits.select("doc_id", "text_hash", "item_id", "item_hash", "item_words", "item_at", (F.col("_at") + 1 - F.col("item_at")).alias("_shift"), "item_slice", F.slice("_words", F.col("_at") + 1, F.size("item_slice")).alias("doc_slice")))
+    matched = reduce(DataFrame.unionByName, found)
     key = ["doc_id", "text_hash", "item_id", "item_hash", "item_words"]
     pairs = F.filter(F.zip_with("item_slice", "doc_slice", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: placeholder(p["a"]).isNotNull())
     runs = (
@@ -131,9 +144,12 @@ def _frame(a: Column, b: Column) -> Column:
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, how: Matching = Matching()) -> DataFrame:
-    """``documents`` without those that hold a benchmark item; other rows and all columns stay as they are."""
-    bad = leaks(documents, benchmark, how).select(F.col("doc_id").alias("_leak_id"), F.col("text_hash").alias("_leak_hash")).distinct()
-    return documents.join(bad, documents["doc_id"].eqNullSafe(bad["_leak_id"]) & (F.xxhash64(documents["text"]) == bad["_leak_hash"]), "left_anti")
+    """``documents`` without those that hold a benchmark item; other rows and all columns stay as they are.
+
+    Rows alike in doc_id and text share their fate. Null and empty texts hold nothing and stay; no items, all stay; very
+    long texts are compared whole. Documents are shuffled only if more than a million of them leak.
+    """
+    return among(documents, written(leaks(documents, benchmark, how).select("doc_id", F.col("text_hash").alias("mark")).distinct()), "left_anti")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
