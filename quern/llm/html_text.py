@@ -2,7 +2,7 @@
 
 Every text node lies on a root-to-leaf tag path, menus and adverts like any other. Per path the length of its text and
 its punctuation are summed and divided by its nodes, the two ratios are fused, and each node takes its path's value,
-smoothed over its neighbours in page order. Nodes above a threshold are content. With a path's content stay all blocks
+smoothed over its neighbours in page order. The nodes of paths that are above a threshold then are content. With a path's content stay all blocks
 on paths that begin like it, short ones too (a paragraph's headings, lists and captions), and what an article or main
 element around it holds; what lies elsewhere goes, whatever it is called. Of what stays, that goes whose element or
 class names it a menu, a notice, a form, reader comments and so on.
@@ -199,7 +199,7 @@ def path_ratios(blocks: list[Block]) -> dict[int, float]:
 def extract(page: str, share: float = 0.5, ratios=path_ratios, named: bool = True) -> str:
     """The article's blocks, one a line; empty if a page has no text but boilerplate.
 
-    Nodes are content whose smoothed ratio is at least ``share`` of the mean. For tests, other ``ratios``, and with
+    Nodes are content on paths whose smoothed ratio is, on average, at least ``share`` of that of all nodes. For tests, other ``ratios``, and with
     ``named`` off, no element or class counts as boilerplate by its name, and none as the article.
     """
     parsed = _Page(page)
@@ -209,7 +209,11 @@ def extract(page: str, share: float = 0.5, ratios=path_ratios, named: bool = Tru
     of_path = ratios(blocks)
     scores = _smoothed([of_path[b.path] for b in blocks])
     threshold = share * sum(scores) / len(scores)
-    content = [s >= threshold and not b.marked for b, s in zip(blocks, scores)]
+    total, nodes = defaultdict(float), defaultdict(int)
+    for b, s in zip(blocks, scores):
+        total[b.path] += s
+        nodes[b.path] += 1
+    content = [total[b.path] >= threshold * nodes[b.path] and not b.marked for b in blocks]
     if not any(content):  # all that the ratios choose is boilerplate by name
         content = [not b.marked for b in blocks]
     return "\n".join(b.text for b, k in zip(blocks, _kept(parsed, blocks, content, named)) if k)

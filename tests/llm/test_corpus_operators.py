@@ -45,7 +45,7 @@ def labelled(spark):
 
 def test_held_out_documents_are_told_apart(labelled):
     docs, labels, truth = labelled
-    model = fit(docs, labels.filter("doc_id % 2 = 0"))
+    model = fit(docs, labels.withColumnRenamed("quality", "grade").filter("doc_id % 2 = 0"))
     got = {r.doc_id: r for r in score(docs, model).collect()}
     held = [(got[i].grade > 0, bool(t)) for i, _, t in truth if i % 2]
     assert sum(a == b for a, b in held) / len(held) > 0.99
@@ -56,6 +56,25 @@ def test_held_out_documents_are_told_apart(labelled):
     assert kept.columns == ["doc_id", "text", "severity"] and {r.doc_id for r in kept.collect()} == {i for i, _, t in truth if not t}
 
 
+def test_three_grades_share_weights(spark):
+    rng = random.Random(8)
+    docs, labels = [], []
+    for i in range(1200):
+        grade = i % 3
+        words = prose(rng, 30, PLAIN).split() + ["scum"] * (grade > 0) + [rng.choice(["vermin", "scumlord"])] * (grade > 1)
+        docs.append((i, " ".join(words)))
+        labels.append((i, grade))
+    docs, labels = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, grade int")
+    model = fit(docs, labels.filter("doc_id % 2 = 0"))
+    got = {r.doc_id: r for r in score(docs, model).collect()}
+    assert len(model.thresholds) == 2 and model.thresholds[0] < model.thresholds[1]
+    assert sum(got[i].grade == i % 3 for i in range(1, 1200, 2)) > 590
+    means = [np.mean([got[i].severity for i in range(1, 1200, 2) if i % 3 == g]) for g in range(3)]
+    assert means[0] < 0.1 and abs(means[1] - 1) < 0.1 and means[2] > 1.9
+    two = fit(docs, labels.selectExpr("doc_id", "int(grade > 0) as toxic"))  # labels without grades: two of them
+    assert len(two.thresholds) == 1 and score(docs, two).agg(F.max("grade")).first()[0] == 1
+
+
 def test_weights_are_those_of_the_likelihood():
     rng = np.random.default_rng(0)
     x = rng.random((3000, 3)) < 0.5

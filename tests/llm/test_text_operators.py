@@ -255,3 +255,45 @@ def test_conversations_are_digested_from_their_formatted_text(spark):
         expected.append((conv, len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), sum(len(render_turn(*t)) for t in turns)))
     assert sorted((tuple(r) for r in read_back(format_turns(df)).collect()), key=str) == sorted(expected, key=str)
     assert read_back(format_turns(df.limit(0))).count() == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["user", "system", "assistant", "tool", "", "a\\"]), st.text(alphabet="a\\[]<>/INSTYROLEs ", max_size=14) | st.sampled_from(["</s>", "[INST]", "<</ROLE>>x", "\\"])), max_size=6), st.lists(st.integers(0, 400), max_size=8))
+def test_a_conversation_is_read_as_one_stream_however_it_is_cut(turns, cuts):
+    whole = "".join(render_turn(r, t) for r, t in turns)
+    edges = sorted({0, len(whole), *(c % (len(whole) + 1) for c in cuts)})
+    reader = chat.Reader()
+    got = [x for a, b in zip(edges, edges[1:]) for x in reader.feed(whole[a:b])]
+    reader.close()
+    assert [x[:2] for x in got] == turns == [x[:2] for x in parse(whole)]
+
+
+def test_one_huge_turn(spark):
+    text = "[INST] \\ x " * 300_000
+    row = read_back(format_turns(spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string"))).first()
+    assert row.n_turns == 2 and row.loss_chars == len(text) and row.loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    with pytest.raises(GrammarError):
+        reader = chat.Reader()
+        reader.feed("[INST] q")
+        reader.close()
+
+
+@pytest.mark.parametrize("binds,limits", [("tokens", Limits(1000, 50, 1000)), ("segments", Limits(10_000, 4, 10_000)), ("loss", Limits(4000, 50, 300))])
+def test_each_limit_binds_on_instruction_data(spark, binds, limits):
+    rng = np.random.default_rng(3)
+    rows = [(i, int(p + a), int(p)) for i, (p, a) in enumerate(zip(rng.integers(20, 300, 600), rng.integers(1, 120, 600)))]
+    df = spark.createDataFrame(rows + [(900, None, None), (901, 0, 5)], "example_id long, n_tokens int, n_prompt int").repartition(1)
+    pieces = packing.pack_examples(df, limits).collect()
+    of = {i: (n, p) for i, n, p in rows}
+    assert sorted(p.example_id for p in pieces) == list(range(600)) and all(p.start == 0 and p.length == of[p.example_id][0] for p in pieces)
+    used = defaultdict(lambda: np.zeros(3, dtype=int))
+    for p in pieces:
+        n, prompt = of[p.example_id]
+        used[p.sequence_id] += (n, 1, n - prompt)
+    caps = np.array([limits.tokens, limits.segments, limits.loss])
+    load = np.array(list(used.values()))
+    assert (load <= caps).all()
+    at = ("tokens", "segments", "loss").index(binds)
+    assert load[:, at].mean() > 0.93 * caps[at]  # what binds is used up, and no heuristic needs many more sequences
+    assert len(used) <= 1.08 * load.sum(axis=0)[at] / caps[at] + 1
+    assert packing.pack_examples(df.limit(0), limits).count() == 0
