@@ -31,9 +31,7 @@ class Fit:
     """rows: most labelled documents that the model is fitted on (those with the least hash of their id).
 
     support: documents that a feature must be in; evidence: least likelihood ratio (G2) for a feature against the
-    grades; features: most that are kept, the strongest first; penalty: of squared weights. severe: distinct words
-    with a feature of toxic documents from which a document labelled toxic is of grade 2, where labels say no more
-    than toxic or not.
+    grades; features: most that are kept, the strongest first; penalty: of squared weights.
     """
 
     rows: int = 20_000
@@ -42,7 +40,6 @@ class Fit:
     features: int = 4000
     penalty: float = 1e-6
     rounds: int = 800
-    severe: int = 3
 
 
 @dataclass(frozen=True)
@@ -81,7 +78,7 @@ def present(text: str) -> set[str]:
 
 
 def graded(labels: DataFrame) -> DataFrame:
-    """(doc_id, grade) from a column ``grade`` (0 is not toxic), or from ``toxic`` 0 or 1.
+    """(doc_id, grade) from a column ``grade`` (0 is not toxic), or from ``toxic``, which tells two grades apart, 0 and 1.
 
     Null ids or labels are left out; of several labels of a document the worst counts.
     """
@@ -96,8 +93,8 @@ def _sample(docs: DataFrame, labels: DataFrame, how: Fit) -> DataFrame:
     return ours.join(F.broadcast(ids), "doc_id").select("grade", "text")
 
 
-def _choose(sample: DataFrame, how: Fit) -> dict[str, bool]:
-    """The features that tell toxic documents from others, at most how.features, and whether toxic ones have them more."""
+def _choose(sample: DataFrame, how: Fit) -> list[str]:
+    """The features that tell toxic documents from others, at most how.features."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,7 +108,7 @@ def _choose(sample: DataFrame, how: Fit) -> dict[str, bool]:
 
     total, bad = sample.agg(F.count("*"), F.count(F.when(F.col("grade") > 0, 1))).first()
     if not bad or bad == total:
-        return {}
+        return []
     x = sample.mapInArrow(count, "feature string, bad long, n long").groupBy("feature").agg(F.sum("bad").cast("double").alias("a"), F.sum("n").cast("double").alias("n")).filter(F.col("n") >= how.support)
 
     def part(seen, expected):
@@ -121,11 +118,13 @@ def _choose(sample: DataFrame, how: Fit) -> dict[str, bool]:
     share = F.lit(bad / total)
     g2 = 2 * (part(a, n * share) + part(n - a, n * (1 - share)) + part(bad - a, (total - n) * share) + part((total - n) - (bad - a), (total - n) * (1 - share)))
     best = x.withColumn("g2", g2).filter(F.col("g2") >= how.evidence).orderBy(F.desc("g2"), "feature").limit(how.features).collect()
-    return {r["feature"]: r["a"] > r["n"] * bad / total for r in best}
+    return [r["feature"] for r in best]
 
 
 def fit(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> Model:
-    """The model of (doc_id, text) and (doc_id, quality, toxic). Without both toxic and other documents it says 0 of all.
+    """The model of (doc_id, text) and (doc_id, quality, toxic). Without both toxic and other documents it says 0 of all,
+    as it does of empty tables. Documents of a labelled id, repeated rows too, each count; nulls are as in ``graded`` and
+    null texts empty; which documents are taken, and which of equally strong features, doesn't depend on the rows' order.
 
     To the driver come at most how.features features and how.rows rows of their numbers.
     """
@@ -134,17 +133,13 @@ def fit(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> Model:
     if not names:
         return Model()
     index = {x: i for i, x in enumerate(names)}
-    derive = "grade" not in labels.columns
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             grades, found = [], []
             for grade, text in zip(batch.column("grade").to_pylist(), batch.column("text").to_pylist()):
-                words = vocabulary(text)
-                if derive and grade:
-                    grade = 1 + (sum(any(names.get(x) for x in features_of(w)) for w in words) >= how.severe)
                 grades.append(grade)
-                found.append(sorted({index[x] for w in words for x in features_of(w) if x in index}))
+                found.append(sorted({index[x] for x in present(text) if x in index}))
             yield pa.RecordBatch.from_arrays([pa.array(grades, pa.int32()), pa.array(found, pa.list_(pa.int32()))], names=["grade", "at"])
 
     data = sample.mapInArrow(rows, "grade int, at array<int>").toArrow()
@@ -206,7 +201,11 @@ def judge(texts: list[str | None], model: Model, known: dict[str, tuple[str, ...
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, severity, grade) of whole texts; null counts as empty, other columns are left out. No shuffle."""
+    """(doc_id, severity, grade) of whole texts; null counts as empty, other columns are left out. No shuffle.
+
+    Rows are independent: repeated rows and ties come out as often as they are, no rows give none; a very long text is
+    read in parts. Expected severity is the sum over the thresholds of the probability to be above.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[str, ...]] = {}
@@ -218,7 +217,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> DataFrame:
-    """``docs`` without rows of grade 1 or more; the others keep all their columns."""
+    """``docs`` without rows of grade 1 or more; the others keep all their columns, and a column named like one of
+    ``score`` is no matter. Null and empty texts stay; repeated rows share their fate; no documents or no labels, no change.
+    """
     model = fit(docs, labels, how)
     at = docs.columns.index("text")
 
