@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import partitions, table
+from quern.llm.common import partitions, size_of, table
 
 #: The template's control strings.
 CONTROLS = ("[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<<ROLE>>", "<</ROLE>>", "</s>")
@@ -34,6 +34,10 @@ class GrammarError(ValueError):
     """Rendered text that the grammar does not accept."""
 
 
+class _Unfinished(GrammarError):
+    """Text that ends before a turn does."""
+
+
 def escaped(text: str) -> str:
     return _CONFLICT.sub(lambda m: "\\" + m[0], text)
 
@@ -49,27 +53,57 @@ def _until(s: str, at: int, control: str) -> tuple[int, int]:
             if m[0] != control:
                 raise GrammarError(f"{m[0]} at {m.start()} where {control} was due")
             return m.start(), m.end()
-    raise GrammarError(f"no {control} after {at}")
+    raise _Unfinished(f"no {control} after {at}")
+
+
+def _turn(s: str, at: int) -> tuple[str, str, tuple[int, int], bool, int]:
+    """The turn that starts at ``at``: role, text, where the (escaped) text is, whether it bears loss, where it ends."""
+    role, close, begin = "assistant", "</s>", at
+    for opening, closing, name in (("[INST]", "[/INST]", "user"), ("<<SYS>>", "<</SYS>>", "system"), ("<<ROLE>>", "<</ROLE>>", "")):
+        if s.startswith(opening, at):
+            role, close, begin = name, closing, at + len(opening)
+    end, at = _until(s, begin, close)
+    loss = role == "assistant"
+    if not role:
+        role, begin = unescaped(s[begin:end]), at
+        end, at = _until(s, begin, "</s>")
+    return role, unescaped(s[begin:end]), (begin, end), loss, at
 
 
 def parse(s: str) -> list[tuple[str, str, int, int, bool]]:
     """The turns of rendered text: role, text, where the (escaped) text starts and ends, and whether it bears loss."""
     turns, at = [], 0
     while at < len(s):
-        role, close, begin = "assistant", "</s>", at
-        for opening, closing, name in (("[INST]", "[/INST]", "user"), ("<<SYS>>", "<</SYS>>", "system"), ("<<ROLE>>", "<</ROLE>>", "")):
-            if s.startswith(opening, at):
-                role, close, begin = name, closing, at + len(opening)
-        end, at = _until(s, begin, close)
-        if not role:
-            role, begin = unescaped(s[begin:end]), at
-            end, at = _until(s, begin, "</s>")
-            turns.append((role, unescaped(s[begin:end]), begin, end, False))
-        else:
-            turns.append((role, unescaped(s[begin:end]), begin, end, role == "assistant"))
+        role, text, span, loss, at = _turn(s, at)
+        turns.append((role, text, *span, loss))
     return turns
 
 
+class Reader:
+    """Reads a conversation's rendered text as one stream, cut anywhere: what is not yet a whole turn waits."""
+
+    _OPENINGS = ("[INST]", "<<SYS>>", "<<ROLE>>")
+
+    def __init__(self) -> None:
+        self.tail = ""
+
+    def feed(self, s: str) -> list[tuple[str, str, bool]]:
+        """The turns that are complete with it: role, text, whether the text bears loss."""
+        s, turns, at = self.tail + s, [], 0
+        while at < len(s) and not any(len(s) - at < len(o) and o.startswith(s[at:]) for o in self._OPENINGS):
+            try:
+                role, text, _, loss, at = _turn(s, at)
+            except _Unfinished:
+                break
+            turns.append((role, text, loss))
+        self.tail = s[at:]
+        return turns
+
+    def close(self) -> None:
+        if self.tail:
+            raise GrammarError(f"{self.tail[:40]!r} is no whole turn")
+
+
 def _render(role: str, text: str) -> str:
     if role == "user":
         return f"[INST]{text}[/INST]"
@@ -93,7 +127,8 @@ def render_turn(role: str, text: str) -> str:
 def format_turns(df: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text) with ``formatted``, its rendered segment; segments in order of turn are the whole.
 
-    Rows are independent: no shuffle. Null role or text counts as empty. Other columns are left out.
+    Rows are independent: no shuffle; repeated rows are turns of their own, no rows give none, and a very long turn is one
+    row. Null role or text counts as empty. Other columns are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,19 +143,21 @@ OUT = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sh
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests of each conversation, from its formatted segments alone.
+    """Digests of each conversation, from its formatted text alone.
 
-    Partitions are sorted by conversation and turn and read as a stream: of a conversation, however long, a task
-    holds its running digests and one batch of segments. Turns of one number are in order of role and text; null
+    Partitions are sorted by conversation and turn, and a conversation's segments read as one text: the parser, not where
+    a segment ends, finds the turns. Of a conversation, however long, a task holds its running digests, what is read of
+    one turn, and one batch of segments; a turn is held whole. Turns of one number are in order of role and text; null
     conv_ids are one conversation; null turns come first. An empty table gives an empty table.
     """
     spark = formatted.sparkSession
-    dealt = formatted.repartition(partitions(spark), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "formatted")
+    dealt = formatted.repartition(partitions(spark, size_of(formatted)), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "formatted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state, schema = None, None, pa.schema([(c.split()[0], pa.string() if c.endswith("string") else pa.int64()) for c in OUT.split(", ")])
 
         def done():
+            state[5].close()
             return (now[0], state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4])
 
         for batch in batches:
@@ -129,9 +166,9 @@ def read_back(formatted: DataFrame) -> DataFrame:
                 if now is None or now[0] != conv:
                     if now is not None:
                         out.append(done())
-                    now, state = (conv,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    now, state = (conv,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0, Reader()]
                 state[4] += len(segment)
-                for role, text, _, _, loss in parse(segment):
+                for role, text, loss in state[5].feed(segment):
                     state[0] += 1
                     state[1].update(f"{role}\n{text}\n".encode())
                     if loss:
