@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quern.llm.common import table
 from quern.llm.token_count import byte_vocabulary, vocabulary_path
@@ -137,6 +138,42 @@ def document_ids(text: str, path: str | None = None) -> np.ndarray:
     return np.append(encoder(path).encode_to_numpy(text, allowed_special="all"), END).astype("<u4")
 
 
+PIECE = "example_id long, start long, length long, sequence_id long, offset long"
+
+
+def pack_examples(df: DataFrame, limits: Limits, cut: bool = False, pool: int = POOL) -> DataFrame:
+    """Pieces (PIECE) of examples (example_id, n_tokens, n_prompt): instruction data, whose prompts bear no loss.
+
+    No sequence has more tokens, segments or loss-bearing tokens than ``limits`` says. Examples stay whole but for those
+    that break a limit alone (or ``cut``). Null counts are 0; an example without tokens has no piece; repeated rows are
+    packed each for itself; other columns are left out; no rows give none. Every task packs its rows as a stream.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, first, ids, n = Packer(limits, cut=cut, powers=False, pool=pool), TaskContext.get().partitionId() << 33, {}, 0
+        left: dict[int, int] = {}
+
+        def rows(pieces):
+            out = [(ids[key], start, size, first + sequence, offset) for key, start, size, sequence, offset in pieces]
+            for key, _, size, *_ in pieces:
+                left[key] -= size
+                if not left[key]:
+                    del ids[key], left[key]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=[c.split()[0] for c in PIECE.split(", ")])
+
+        for batch in batches:
+            for example, tokens, prompt in zip(*(c.to_pylist() for c in batch.columns)):
+                if tokens and tokens > 0:
+                    ids[n], left[n] = example, tokens
+                    if pieces := packer.add(n, tokens, min(prompt or 0, tokens)):
+                        yield rows(pieces)
+                    n += 1
+        if pieces := packer.finish():
+            yield rows(pieces)
+
+    return df.select(*(F.col(c).cast("long") for c in ("example_id", "n_tokens", "n_prompt"))).mapInArrow(run, PIECE)
+
+
 OUT = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64()}
 
 
@@ -145,7 +182,8 @@ def pack_documents(df: DataFrame, limits: Limits = Limits(), path: str | None =
 
     All ids of a document bear loss. Documents are cut freely, so that only a task's last sequence is short, and
     that one is cut at powers of two. Null and empty texts are one id long. Repeated rows are packed each for
-    itself; null doc_ids stay null; other columns are left out; an empty table gives an empty table. sequence_id
+    itself; null doc_ids stay null; other columns are left out; an empty table gives an empty table; of a very long text
+    all ids are held until its last piece is out. sequence_id
     holds the task's partition in its upper bits, so a repeated task gives the same ids.
     """
 
