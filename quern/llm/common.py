@@ -40,6 +40,12 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again: its files outlive any executor, and lineage ends there."""
     shared_folder(df.sparkSession)
@@ -82,10 +88,11 @@ def among(docs: DataFrame, which: DataFrame, kind: str) -> DataFrame:
     kind: left_anti, left_semi or inner, which adds the other columns. Few rows are sent to the documents; beyond FEW,
     both are shuffled.
     """
-    if which.count() <= FEW:
-        which = F.broadcast(which)
-    on = docs["doc_id"].cast("long").eqNullSafe(which["doc_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == which["mark"])
-    return docs.join(which, on, kind)
+    few = which.count() <= FEW
+    names = {"doc_id": "__doc_id", "mark": "__mark"}  # of their own, also where both sides come from one table
+    which = which.select(*[F.col(c).alias(names.get(c, c)) for c in which.columns])
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__mark"))
+    return docs.join(F.broadcast(which) if few else which, on, kind)
 
 
 def text_or_empty(name: str = "text") -> Column:

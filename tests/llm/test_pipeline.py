@@ -88,3 +88,54 @@ def test_one_of_a_group_stays(spark):
     out = keep_one(spark.createDataFrame(rows, "doc_id long, text string, node int"))
     assert out.columns == ["doc_id", "text", "node"]
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(1, "a b c d e f"), (None, "other words of its own here"), (7, None), (9, "x")], key=str)
+
+
+def test_stages_of_empty_tables(spark, tmp_path):
+    for name, schema in (("documents", SCHEMA), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def words_of(texts):
+    return {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in ((i, t.lower().split()) for i, t in texts.items())}
+
+
+def test_near_dedup_finds_lone_pairs_and_drops_nothing_unlike(spark):
+    rng = random.Random(6)
+    texts, share, n = {}, {}, 0
+    for kind in ("block", "end", "scattered"):
+        for _ in range(120):
+            a = prose(rng, 300).split()
+            b, k = list(a), rng.randint(5, 45)
+            if kind == "block":
+                at = rng.randrange(len(b) - k)
+                b[at : at + k] = prose(rng, k).split()
+            elif kind == "end":
+                b += prose(rng, 2 * k).split()
+            else:
+                for i in rng.sample(range(len(b)), max(1, k // 5)):
+                    b[i] = rng.choice(WORDS)
+            texts[n], texts[n + 1], share[n + 1] = " ".join(a), " ".join(b), kind
+            n += 2
+    kept = {r.doc_id for r in keep_one(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    sets = words_of(texts)
+    alike = {i: len(sets[i] & sets[i - 1]) / len(sets[i] | sets[i - 1]) for i in share}
+    assert not [i for i, j in alike.items() if j < 0.8 and (i not in kept or i - 1 not in kept)]
+    for kind in ("block", "end", "scattered"):
+        pairs = [i for i, j in alike.items() if j >= 0.8 and share[i] == kind]
+        assert len(pairs) > 40 and sum(i not in kept for i in pairs) >= 0.9 * len(pairs), kind
+
+
+def test_a_large_group_of_near_copies_leaves_its_text(spark):
+    rng = random.Random(7)
+    base = prose(rng, 400).split()
+    texts = {5000: " ".join(base)}
+    for i in range(3000):
+        b = list(base)
+        for k in rng.sample(range(400), rng.randint(1, 7)):
+            b[k] = rng.choice(WORDS) + str(i)
+        texts[i] = " ".join(b)
+    sets = words_of(texts)
+    kept = [r.doc_id for r in keep_one(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()]
+    near = [i for i in texts if len(sets[i] & sets[5000]) / len(sets[i] | sets[5000]) >= 0.8]
+    assert len(near) > 2900 and 5000 in kept and len(set(near) & set(kept)) <= 0.02 * len(near)
