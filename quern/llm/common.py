@@ -67,16 +67,18 @@ def size_of(df: DataFrame) -> int:
     return size if size < 1 << 60 else 0
 
 
-#: Keys of more rows than this are joined apart, and rows that may be sent to every executor.
-HOT, FEW = 1000, 1_000_000
+#: Keys of more rows than this are joined apart, and rows that may be sent to every executor: of whole lookups, and else.
+HOT, SMALL, FEW = 1000, 200_000, 1_000_000
 
 
 def lookup(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
     """``left`` (``total`` rows) with what ``right`` has for its key; ``right`` is one row a key, with ``n``, its rows in left.
 
-    The keys of many rows, of which there are at most 10,000, are sent to where left's rows are, so that no task gets
-    all rows of a key.
+    No task gets all rows of a key: the keys of many rows, of which there are at most 10,000, or all keys where left has
+    few rows, are sent to where left's rows are.
     """
+    if total <= SMALL:
+        return left.join(F.broadcast(right), key)
     floor = max(HOT, total // 10_000)
     hot = F.broadcast(right.filter(F.col("n") > floor))
     return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(right.filter(F.col("n") <= floor), key))

@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.common import among, binary, lookup, partitions, shingle_hashes, table, text_or_empty, written
@@ -127,17 +127,19 @@ def _rows(prefix, block, depth, turned, fp2, node, home) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=[c.split()[0] for c in ROW.split(", ")])
 
 
-def _dealt(nodes: DataFrame, how: Linking) -> DataFrame:
+def _dealt(nodes: DataFrame, how: Linking, halves: int = 1) -> DataFrame:
     """Rows (ROW): each node at home in its own cell of each block, and as a guest in near cells.
 
-    Of two cells that differ, the one with the smaller bits sends.
+    Of two cells that differ, the one with the smaller bits sends. With two ``halves``, fp2 has blocks and cells as well,
+    where fp confirms.
     """
     near = how.radius // how.blocks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, fp2, node = (batch.column(c).to_numpy() for c in ("fp", "fp2", "node"))
-            for b, (shift, width) in enumerate(spans(how.blocks)):
+            one, other, node = (batch.column(c).to_numpy() for c in ("fp", "fp2", "node"))
+            for b, (shift, width) in enumerate(spans(how.blocks) * halves):
+                fp, fp2 = (one, other) if b < how.blocks else (other, one)
                 turned = rotated(fp.view(np.uint64), shift, width)
                 down = np.uint64(64 - width)
                 value = turned >> down
@@ -374,11 +376,14 @@ def _joined(dealt: DataFrame, how: Linking, rows: int) -> DataFrame:
     return sorted_.mapInArrow(run, "a long, b long")
 
 
-def links(nodes: DataFrame, how: Linking) -> DataFrame:
-    """Links (a, b), b < a, that connect all nodes (fp, fp2, node) within the radius: forests of each cell."""
-    dealt = _dealt(nodes, how)
+def links(nodes: DataFrame, how: Linking, halves: int = 1) -> DataFrame:
+    """Links (a, b), b < a, that connect all nodes (fp, fp2, node) within the radius: forests of each cell.
+
+    With two ``halves``, nodes are linked that are within the radius in fp or in fp2.
+    """
+    dealt = _dealt(nodes, how, halves)
     hot = lambda rows: rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("depth").alias("depth")).filter((F.col("n") > how.cell) & (F.col("depth") < 64)).select("cell")
-    rows = nodes.count() * sum(1 + len(masks(width, how.radius // how.blocks)) // 2 for _, width in spans(how.blocks))
+    rows = nodes.count() * halves * sum(1 + len(masks(width, how.radius // how.blocks)) // 2 for _, width in spans(how.blocks))
     large = written(hot(dealt))
     if large.isEmpty():
         return _joined(dealt, how, rows)
@@ -448,22 +453,17 @@ class Similar:
     how: Linking = Linking(radius=11, blocks=6, confirm=18)
 
 
-def _bits(name: str, n: Column, sums: str) -> Column:
-    """The majority's bits from their sums."""
-    return reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.col(f"{sums}{i}") * 2 > n, F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0).cast("long")) for i in range(64)]).alias(name)
-
-
-def _led(members: DataFrame) -> DataFrame:
-    """(root, leader, size): of each group (root, node, fp, fp2, least) its first document, and the node nearest to the
-    majority of all bits, to which near copies of one text are nearest if it is that text."""
-    ones = [F.sum(F.shiftrightunsigned(c, i).bitwiseAND(F.lit(1).cast("long"))).alias(f"{c}_{i}") for c in ("fp", "fp2") for i in range(64)]
-    size = F.count("*").alias("size")
-    large = members.groupBy("root").agg(size, *ones).filter("size > 2").select("root", _bits("m", F.col("size"), "fp_"), _bits("m2", F.col("size"), "fp2_"))
-    sizes = members.groupBy("root").agg(size)
-    far = F.bit_count(F.col("fp").bitwiseXOR(F.col("m"))) + F.bit_count(F.col("fp2").bitwiseXOR(F.col("m2")))
-    ranked = lookup(members, sizes.join(large, "root", "left").withColumn("n", F.col("size")), "root", members.count())
-    first, nearest = F.min(F.struct("least", "node"))["node"], F.min(F.struct(F.coalesce(far, F.lit(0)).alias("far"), "least", "node"))["node"]
-    return ranked.groupBy("root").agg(F.array_distinct(F.array(first, nearest)).alias("leaders"), F.max("size").alias("size")).select("root", F.explode("leaders").alias("leader"), "size")
+def _led(members: DataFrame, total: int) -> DataFrame:
+    """(root, leaders, size, n): of each group (root, node, fp, fp2, least) its first document, and the node that is
+    nearest to some of its members, eight or so: of near copies of one text, that text if it is among them."""
+    sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct("least", "node"))["node"].alias("first"))
+    sized = lookup(members, sizes, "root", total)
+    drawn = sized.filter((F.col("n") > 2) & (F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / 8)) == 0))
+    some = drawn.groupBy("root").agg(F.collect_list(F.struct("fp", "fp2")).alias("some"))
+    ranked = lookup(sized.drop("n"), sizes.drop("first").join(some, "root", "left"), "root", total)
+    apart = F.aggregate("some", F.lit(0), lambda n, x: n + F.bit_count(x["fp"].bitwiseXOR(F.col("fp"))) + F.bit_count(x["fp2"].bitwiseXOR(F.col("fp2"))))
+    nearest = F.min(F.struct(F.coalesce(apart, F.lit(0)).alias("apart"), "least", "node"))["node"]
+    return ranked.groupBy("root").agg(F.array_distinct(F.array(F.first("first"), nearest)).alias("leaders"), F.max("n").alias("size"), F.max("n").alias("n"))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -491,27 +491,28 @@ def covered(docs: DataFrame, nodes: DataFrame, alike: Similar) -> DataFrame:
     """
     sets, out, left = None, [], nodes
     while True:
-        turned = left.select(F.col("fp2").alias("fp"), F.col("fp").alias("fp2"), "node")
-        groups = written(components(links(left, alike.how).unionByName(links(turned, alike.how))))
-        if groups.isEmpty():
-            break
+        groups = components(links(left, alike.how, halves=2))
         members = written(groups.join(left.select("node", "fp", "fp2", "least"), "node"))
+        total = members.count()
+        if not total:
+            break
         if sets is None:
             sets = written(_sets(docs, members, alike.words))
-        leaders = written(_led(members))
-        both = leaders.groupBy("root").agg(F.sort_array(F.collect_list("leader")).alias("leaders"), F.max("size").alias("size"), F.max("size").alias("n"))
-        pairs = lookup(members.select("root", "node"), both, "root", members.count()).select("root", "node", F.explode("leaders").alias("leader"), "size").filter("node != leader")
+        led = written(_led(members, total))
+        leaders = led.select("root", F.explode("leaders").alias("leader"), "size")
+        pairs = lookup(members.select("root", "node"), led, "root", total).select("root", "node", F.explode("leaders").alias("leader"), "size").filter("node != leader")
         ways = F.floor(F.col("size") / SHARE) + 1  # a large group's members are dealt out to several copies of its leader's set
         ours = pairs.join(sets, "node").withColumn("way", F.pmod(F.xxhash64("node"), ways))
         theirs = leaders.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), ways - 1)).alias("way")).join(sets.withColumnsRenamed({"node": "leader", "shingles": "_shingles"}), "leader")
         shared = F.size(F.array_intersect("shingles", "_shingles"))
         like = written(ours.join(theirs, ["leader", "way"]).filter(shared >= alike.share * (F.size("shingles") + F.size("_shingles") - shared)).select("root", "node", "leader").distinct())
-        if like.isEmpty():
+        alikes = like.count()
+        if not alikes:
             break
         least = members.select(F.col("node").alias("leader"), F.col("least").alias("_least"))
         counts = like.groupBy("root", "leader").agg(F.count("*").alias("n")).join(least, "leader")
         best = counts.groupBy("root").agg(F.min(F.struct((-F.col("n")).alias("n"), "_least", "leader")).alias("b")).select("root", F.col("b.leader").alias("best"), (-F.col("b.n")).alias("n"))
-        gone = written(lookup(like, best.withColumn("n", F.col("n") * 2), "root", like.count()).filter("leader = best").select("node"))
+        gone = written(lookup(like, best.withColumn("n", F.col("n") * 2), "root", alikes).filter("leader = best").select("node"))
         out.append(gone)
         settled = best.select(F.col("best").alias("node")).unionByName(leaders.join(best, "root", "left_anti").select(F.col("leader").alias("node")))
         left = written(members.join(settled, "node", "left_anti").join(gone, "node", "left_anti"))
