@@ -2,7 +2,7 @@
 
 A unit is a line, or a sentence or clause of a longer line, or what follows a word chosen by its own hash (so that a
 passage pasted into the middle of a line is still cut at its own seams), together with the units after it until it has
-enough words. A whole line is a unit of its own as well, from three words on. Units are normalised, digests of 128
+enough words. A whole line is a unit of its own as well, from three words on. Units are normalised, digests of 72
 bits grouped over all documents, and every occurrence but the earliest ranked one is removed, its place in the
 original text retained.
 """
@@ -216,7 +216,7 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 #: Units that are held at a time.
 ROWS = 1 << 18
-UNIT = "high long, low long, doc_id long, text_hash long, span long"
+UNIT = "high long, low int, doc_id long, text_hash long, span long"
 
 
 def _late(high: np.ndarray, low: np.ndarray, rank: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -240,13 +240,14 @@ def _occurrences(docs: DataFrame, how: Units) -> DataFrame:
     """
 
     def told(digests: list[bytes], owners: list[int], spans: list[int], ranks: list[tuple]) -> pa.RecordBatch:
-        digest = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
+        digest = np.frombuffer(b"".join(digests), dtype=[("high", "<i8"), ("low", "u1"), ("rest", "V7")])  # 72 bits are shuffled
+        high, low = digest["high"].copy(), digest["low"].astype(np.int32)
         owner, span = np.array(owners), np.array(spans, dtype=np.int64)
         place = {r: i for i, r in enumerate(sorted(set(ranks)))}
-        late = _late(digest[:, 0], digest[:, 1], np.array([place[r] for r in ranks])[owner], span >> 32)
+        late = _late(high, low, np.array([place[r] for r in ranks])[owner], span >> 32)
         ids, marks = pa.array([None if r[0] else r[1] for r in ranks], pa.int64()), pa.array([r[2] for r in ranks], pa.int64())
         owner = pa.array(owner)
-        return pa.RecordBatch.from_arrays([pa.array(digest[:, 0]), pa.array(digest[:, 1]), ids.take(owner), marks.take(owner), pa.array(np.where(late, ~span, span))], names=["high", "low", "doc_id", "text_hash", "span"])
+        return pa.RecordBatch.from_arrays([pa.array(high), pa.array(low), ids.take(owner), marks.take(owner), pa.array(np.where(late, ~span, span))], names=["high", "low", "doc_id", "text_hash", "span"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = digests, owners, spans, ranks = [], [], [], []
@@ -264,7 +265,7 @@ def _occurrences(docs: DataFrame, how: Units) -> DataFrame:
         if spans:
             yield told(*held)
 
-    return docs.mapInArrow(run, UNIT)
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, UNIT)
 
 
 def repeats(docs: DataFrame, how: Units = Units(), size: int = 0) -> DataFrame:
@@ -274,15 +275,15 @@ def repeats(docs: DataFrame, how: Units = Units(), size: int = 0) -> DataFrame:
     """
     spark = docs.sparkSession
     late = F.col("span") < 0
-    found = _occurrences(docs, how).withColumn("_key", F.when(late, F.xxhash64("doc_id", "span")).otherwise(F.col("high")))
-    dealt = found.repartition(partitions(spark, 3 * size), "_key").drop("_key").sortWithinPartitions("high", "low", late, F.asc_nulls_last("doc_id"), "text_hash", "span")
+    key = F.when(late, F.xxhash64("doc_id", "span")).otherwise(F.col("high"))
+    dealt = _occurrences(docs, how).repartition(partitions(spark, 3 * size), key).sortWithinPartitions("high", "low", late, F.asc_nulls_last("doc_id"), "text_hash", "span")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, head = None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            digest = np.stack([batch.column("high").to_numpy(), batch.column("low").to_numpy()], axis=1)
+            digest = np.stack([batch.column("high").to_numpy(), batch.column("low").to_numpy().astype(np.int64)], axis=1)
             span = batch.column("span").to_numpy()
             late = span < 0
             rank = np.stack([batch.column("doc_id").is_null().to_numpy(zero_copy_only=False).astype(np.int64), batch.column("doc_id").fill_null(0).to_numpy(), batch.column("text_hash").to_numpy(), span], axis=1)
