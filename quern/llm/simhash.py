@@ -399,9 +399,43 @@ def links(nodes: DataFrame, how: Linking, halves: int = 1) -> DataFrame:
     return _joined(reduce(DataFrame.unionByName, parts), how, rows)
 
 
+#: Edges of which a task makes stars at a time.
+EDGES = 1 << 18
+
+
+def _contracted(edges: DataFrame, total: int) -> DataFrame:
+    """Edges (a, b), b < a, that connect what ``edges`` (``total`` rows) do: of some EDGES at a time, stars about the least node.
+
+    A node in many cells has an edge from each. Here it gets one a run, before anything is shuffled; what runs have
+    apart is left to the rounds.
+    """
+
+    def stars(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        names, index = np.unique(np.concatenate([a, b]), return_inverse=True)
+        forest = Forest(len(names))
+        forest.link(index[: len(a)], index[len(a) :])
+        roots = forest.roots(np.arange(len(names)))
+        linked = roots != np.arange(len(names))
+        return pa.RecordBatch.from_arrays([pa.array(names[linked]), pa.array(names[roots[linked]])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append([batch.column(c).to_numpy() for c in ("a", "b")])
+            n += batch.num_rows
+            if n >= EDGES:
+                yield stars(*(np.concatenate(x) for x in zip(*held)))
+                held, n = [], 0
+        if n:
+            yield stars(*(np.concatenate(x) for x in zip(*held)))
+
+    return edges.select("a", "b").coalesce(max(1, -(-total // EDGES))).mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node that can be reached, for nodes with an edge (a, b). Rounds are written to the shared folder."""
-    now = written(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = written(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    now = written(_contracted(now, now.count()).distinct())
     was = None
     while True:
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40))).first())
