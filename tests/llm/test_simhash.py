@@ -79,3 +79,18 @@ def test_whole_query_and_its_edges(spark):
 def test_long_texts_are_read_in_parts():
     text = b"word%d " * 400_000 % tuple(i % 9973 for i in range(400_000))
     assert fingerprint(text) == fingerprint(b"  " + text.upper())
+
+
+@pytest.mark.parametrize("held", [5, 1 << 18])
+def test_components_whatever_a_run_holds(spark, monkeypatch, held):
+    monkeypatch.setattr(simhash, "EDGES", held)
+    rng = np.random.default_rng(4)
+    edges = [(int(a), int(b)) for a, b in rng.integers(-60, 60, (70, 2))] + [(i, i + 1) for i in range(100, 130)] + [(200, 300 + i) for i in range(40)]
+    least = {x: x for e in edges for x in e}
+    for _ in least:
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    found = simhash.components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()
+    alone = {a for a, b in edges if a == b} - {x for a, b in edges if a != b for x in (a, b)}  # a node without another is left out
+    assert sorted((r.node, r.root) for r in found) == sorted((x, y) for x, y in least.items() if x not in alone)
+    assert spark.range(0).selectExpr("id a", "id b").transform(simhash.components).count() == 0
