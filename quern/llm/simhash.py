@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by a binary trie self-join.
+"""SimHash near-duplicates by a binary trie self-join; one document of each group alike, by an exact join of sets.
 
 Fingerprints are strings of 64 bits, leaves of a binary trie. The join goes down the trie in pairs of nodes, adds up
 the bits in which a pair's branches differ, and drops a pair as soon as that exceeds the error budget.
@@ -8,10 +8,14 @@ by at most radius // blocks bits in one, so the pair meets in the cell of that b
 into the pairs of nodes some bits further down that both exist and are within what is left of the budget, again and
 again until no task holds more than it should. A cell passes on a spanning forest of its links, one row a
 fingerprint, and components come from alternating large-star and small-star rounds over those rows.
+
+The pipeline keeps one of near copies (``keep_one``) by sets of shingles, not by fingerprints: a fingerprint can miss a
+pair that is alike. Sets that are alike share one of their rare shingles, and meet there.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -20,10 +24,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import among, binary, lookup, partitions, shingle_hashes, table, text_or_empty, written
+from quern.llm.common import SMALL, among, binary, lookup, partitions, shingle_hashes, table, text_or_empty, written
 
 SHINGLE = 3
 
@@ -84,20 +88,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return made.select("doc_id", "mark", "fp", F.lit(0).cast("long").alias("fp2"), F.col("fp").alias("node"))
 
 
-def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """As ``fingerprints``, of 128 bits: fp and fp2 are majorities of two hashes; node: a hash of the set of shingles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for data in binary(batch, "text"):
-                hashes = shingle_hashes(data, shingle)
-                rows.append((majority(hashes), majority(_mixed(hashes)), xxhash.xxh3_64_intdigest(np.unique(hashes).tobytes())))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), *(_signed(list(x)) for x in (zip(*rows) if rows else ([], [], [])))], names=["doc_id", "mark", "fp", "fp2", "node"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("mark"), "text").mapInArrow(run, "doc_id long, mark long, fp long, fp2 long, node long")
-
-
 def spans(blocks: int) -> list[tuple[int, int]]:
     """(shift, width) of each block, the uppermost first."""
     edges = [64 * i // blocks for i in range(blocks + 1)]
@@ -127,19 +117,17 @@ def _rows(prefix, block, depth, turned, fp2, node, home) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=[c.split()[0] for c in ROW.split(", ")])
 
 
-def _dealt(nodes: DataFrame, how: Linking, halves: int = 1) -> DataFrame:
+def _dealt(nodes: DataFrame, how: Linking) -> DataFrame:
     """Rows (ROW): each node at home in its own cell of each block, and as a guest in near cells.
 
-    Of two cells that differ, the one with the smaller bits sends. With two ``halves``, fp2 has blocks and cells as well,
-    where fp confirms.
+    Of two cells that differ, the one with the smaller bits sends.
     """
     near = how.radius // how.blocks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, other, node = (batch.column(c).to_numpy() for c in ("fp", "fp2", "node"))
-            for b, (shift, width) in enumerate(spans(how.blocks) * halves):
-                fp, fp2 = (one, other) if b < how.blocks else (other, one)
+            fp, fp2, node = (batch.column(c).to_numpy() for c in ("fp", "fp2", "node"))
+            for b, (shift, width) in enumerate(spans(how.blocks)):
                 turned = rotated(fp.view(np.uint64), shift, width)
                 down = np.uint64(64 - width)
                 value = turned >> down
@@ -376,14 +364,11 @@ def _joined(dealt: DataFrame, how: Linking, rows: int) -> DataFrame:
     return sorted_.mapInArrow(run, "a long, b long")
 
 
-def links(nodes: DataFrame, how: Linking, halves: int = 1) -> DataFrame:
-    """Links (a, b), b < a, that connect all nodes (fp, fp2, node) within the radius: forests of each cell.
-
-    With two ``halves``, nodes are linked that are within the radius in fp or in fp2.
-    """
-    dealt = _dealt(nodes, how, halves)
+def links(nodes: DataFrame, how: Linking) -> DataFrame:
+    """Links (a, b), b < a, that connect all nodes (fp, fp2, node) within the radius: forests of each cell."""
+    dealt = _dealt(nodes, how)
     hot = lambda rows: rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("depth").alias("depth")).filter((F.col("n") > how.cell) & (F.col("depth") < 64)).select("cell")
-    rows = nodes.count() * halves * sum(1 + len(masks(width, how.radius // how.blocks)) // 2 for _, width in spans(how.blocks))
+    rows = nodes.count() * sum(1 + len(masks(width, how.radius // how.blocks)) // 2 for _, width in spans(how.blocks))
     large = written(hot(dealt))
     if large.isEmpty():
         return _joined(dealt, how, rows)
@@ -482,27 +467,76 @@ def near_duplicates(docs: DataFrame, how: Linking = Linking()) -> DataFrame:
 class Similar:
     """Documents alike: sets of shingles of ``words`` words whose Jaccard similarity is ``share`` or more.
 
-    Pairs are proposed by ``how`` on either half of a fingerprint of 128 bits, the other half confirming. A pair at
-    0.8 differs in 10 bits of 64, give or take 3, so one half or the other is within 11 for 93 pairs in 100, and at
-    0.85 for 98; unlike texts differ in 32, give or take 4. What is proposed is then compared exactly.
+    Shingles have one order for all documents, rare ones first. Of two sets alike, the first shingle that they have in
+    common is among the first 1 - share of either (the prefix), so all pairs meet in a prefix shingle's bucket: none is
+    left to chance. What meets is then compared exactly. The order comes from ``sample`` documents' most frequent
+    shingles, ``frequent`` at most; it decides how few unlike texts meet, not which pairs are found.
     """
 
     words: int = 5
     share: float = 0.8
-    how: Linking = Linking(radius=11, blocks=6, confirm=18)
+    sample: int = 20_000
+    frequent: int = 1 << 18
+    leaders: int = 8
+
+
+def _set(data: bytes, words: int) -> np.ndarray:
+    return np.unique(shingle_hashes(data, words))
+
+
+def _frequent(docs: DataFrame, alike: Similar) -> tuple[np.ndarray, np.ndarray]:
+    """The sample's most frequent shingles, sorted, and in how many of its documents each is: two or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in binary(batch, "text"):
+                yield pa.RecordBatch.from_arrays([pa.array(_set(data, alike.words).view(np.int64))], names=["token"])
+
+    parts = max(1, -(-docs.count() // alike.sample))
+    some = docs.select("doc_id", "text").filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)) == 0).select("text")
+    counts = written(some.mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).filter("n > 1"))
+    floor, total = 2, 0
+    for n, tokens in sorted(((r.n, r.tokens) for r in counts.groupBy("n").agg(F.count("*").alias("tokens")).collect()), reverse=True):
+        total += tokens
+        if total > alike.frequent:
+            floor = n + 1
+            break
+    found = counts.filter(F.col("n") >= floor).toArrow()
+    token, n = found.column("token").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(token)
+    return token[order], n[order]
+
+
+def prefix(shingles: np.ndarray, known: tuple[np.ndarray, np.ndarray], share: float) -> np.ndarray:
+    """The first shingles of a sorted set in the order of all documents: in how many of the sample, then the hash itself.
+
+    One of them is in any set that is ``share`` alike; an empty set has none.
+    """
+    size = len(shingles)
+    if not size:
+        return shingles
+    token, n = known
+    often = np.zeros(size, dtype=np.int64)
+    if len(token):
+        at = np.minimum(np.searchsorted(token, shingles), len(token) - 1)
+        often = np.where(token[at] == shingles, n[at], 0)
+    return shingles[np.argsort(often, kind="stable")[: size - math.ceil(share * size - 1e-9) + 1]]
+
 
+def sketches(docs: DataFrame, alike: Similar) -> DataFrame:
+    """(doc_id, mark, node, size, tokens) of each row: a hash of its set of shingles, the set's size and its prefix."""
+    known = docs.sparkSession.sparkContext.broadcast(_frequent(docs, alike))
 
-def _led(members: DataFrame, total: int) -> DataFrame:
-    """(root, leaders, size, n): of each group (root, node, fp, fp2, least) its first document, and the node that is
-    nearest to some of its members, eight or so: of near copies of one text, that text if it is among them."""
-    sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct("least", "node"))["node"].alias("first"))
-    sized = lookup(members, sizes, "root", total)
-    drawn = sized.filter((F.col("n") > 2) & (F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / 8)) == 0))
-    some = drawn.groupBy("root").agg(F.collect_list(F.struct("fp", "fp2")).alias("some"))
-    ranked = lookup(sized.drop("n"), sizes.drop("first").join(some, "root", "left"), "root", total)
-    apart = F.aggregate("some", F.lit(0), lambda n, x: n + F.bit_count(x["fp"].bitwiseXOR(F.col("fp"))) + F.bit_count(x["fp2"].bitwiseXOR(F.col("fp2"))))
-    nearest = F.min(F.struct(F.coalesce(apart, F.lit(0)).alias("apart"), "least", "node"))["node"]
-    return ranked.groupBy("root").agg(F.array_distinct(F.array(F.first("first"), nearest)).alias("leaders"), F.max("n").alias("size"), F.max("n").alias("n"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [_set(x, alike.words) for x in binary(batch, "text")]
+            tokens = [prefix(x, known.value, alike.share).view(np.int64) for x in sets]
+            node = _signed([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets])
+            made = [batch.column("doc_id"), batch.column("mark"), node, pa.array([len(x) for x in sets], pa.int32()), pa.array(tokens, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(made, names=["doc_id", "mark", "node", "size", "tokens"])
+
+    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("mark"), "text")
+    return wanted.mapInArrow(run, "doc_id long, mark long, node long, size int, tokens array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -510,64 +544,130 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(shingle_hashes(x, words)).view(np.int64) for x in binary(batch, "text")]
+            found = [_set(x, words).view(np.int64) for x in binary(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])
 
     wanted = wanted.select("node", F.col("least.doc_id").alias("doc_id"), F.col("least.mark").alias("mark"))
     return among(docs.select("doc_id", "text"), wanted, "inner").select("node", "text").mapInArrow(run, "node long, shingles array<long>")
 
 
-#: Members of a group that are compared with its leader in one task.
+def _shared(rows: DataFrame) -> DataFrame:
+    """Rows (token, …) whose token another row has as well."""
+    return rows.withColumn("_n", F.count("*").over(Window.partitionBy("token"))).filter("_n > 1").drop("_n")
+
+
+def _met(nodes: DataFrame) -> DataFrame:
+    """(token, node, size, pos, own): the prefix shingles, at ``pos``, that nodes (node, size, tokens) share with another.
+
+    own: the share of a set that comes before all of these, small in a text that others are copies of.
+    """
+    bytes_ = (nodes.agg(F.sum(F.size("tokens"))).first()[0] or 0) * WIDTH
+    rows = nodes.select("node", "size", F.posexplode("tokens").alias("pos", "token")).repartition(partitions(nodes.sparkSession, bytes_), "token")
+    rows = written(_shared(rows).select("token", "node", "size", "pos"))
+    return rows.withColumn("own", F.min("pos").over(Window.partitionBy("node")) / F.col("size"))
+
+
+def _ranked(rows: DataFrame, most: int) -> DataFrame:
+    """``rows`` with ``lead``: whether a node leads, as one of the first ``most`` in every bucket that it is in."""
+    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("token").orderBy("own", "node")))
+    return ranked.withColumn("lead", F.max("_rank").over(Window.partitionBy("node")) <= most).drop("_rank")
+
+
+def _proposed(rows: DataFrame, share: float) -> DataFrame:
+    """(node, leader, lead): the pairs of a leader and another node of a bucket that can be alike by their sizes and by
+    what is left after the bucket's shingle; two leaders come once. No more than rows times leaders of a bucket."""
+    led = rows.filter("lead").select("token", F.col("node").alias("leader"), F.col("size").alias("_size"), F.col("pos").alias("_pos"))
+    need = F.ceil(share / (1 + share) * (F.col("size") + F.col("_size")) - 1e-9)
+    fits = (F.least("size", "_size") >= share * F.greatest("size", "_size") - 1e-9) & (F.least(F.col("size") - F.col("pos"), F.col("_size") - F.col("_pos")) >= need)
+    once = F.when(F.col("lead"), F.col("node") > F.col("leader")).otherwise(True)
+    return rows.join(led, "token").filter(once & fits).select("node", "leader", "lead").distinct()
+
+
+#: Nodes that are compared with a leader in one task.
 SHARE = 4096
 
 
+def _alike(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
+    """Those of written pairs (node, leader, lead) whose sets are ``share`` alike."""
+    ways = F.floor(F.col("n") / SHARE) + 1  # a large group's members are dealt out to several copies of its leader's set
+    total = pairs.count()
+    sent = F.broadcast if total <= SMALL else lambda rows: rows  # few pairs go to where the sets are: only sets in pairs are shuffled
+    counts = pairs.groupBy("leader").agg(F.count("*").alias("n"))
+    ours = sets.join(sent(lookup(pairs, counts, "leader", total)), "node").withColumn("way", F.pmod(F.xxhash64("node"), ways))
+    copies = counts.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), ways - 1)).alias("way"))
+    theirs = sets.withColumnsRenamed({"node": "leader", "shingles": "_shingles"}).join(sent(copies), "leader")
+    both = F.size(F.array_intersect("shingles", "_shingles"))
+    return ours.join(theirs, ["leader", "way"]).filter(both >= share * (F.size("shingles") + F.size("_shingles") - both)).select("node", "leader", "lead").distinct()
+
+
+def _beaten(like: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node): of leaders alike (``like``: node, leader, lead), those that go: in order of how many each is like, then of
+    their first documents, a leader stays if none before it that stays is like it."""
+    pairs = like.filter("lead").select("node", "leader")
+    both = written(pairs.unionByName(pairs.select(F.col("leader").alias("node"), F.col("node").alias("leader"))))
+    if both.isEmpty():
+        return both.select("node")
+    degree = like.select("leader").unionByName(pairs.select(F.col("node").alias("leader"))).groupBy("leader").agg(F.count("*").alias("n")).withColumnRenamed("leader", "node")
+    known = degree.join(both.select("node").distinct(), "node", "left_semi").join(nodes.select("node", "least"), "node")
+    groups = components(both.select(F.col("node").alias("a"), F.col("leader").alias("b")))
+    sorted_ = both.join(known.join(groups, "node"), "node").repartition("root").sortWithinPartitions("root", F.desc("n"), "least", "node").select("root", "node", "leader")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, gone = None, set()
+        for batch in batches:
+            found = []
+            for root, node, other in zip(*(batch.column(c).to_pylist() for c in ("root", "node", "leader"))):
+                if root != group:
+                    group, gone = root, set()
+                if node not in gone and other not in gone:
+                    gone.add(other)
+                    found.append(other)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["node"])
+
+    return sorted_.mapInArrow(run, "node long")
+
+
 def covered(docs: DataFrame, nodes: DataFrame, alike: Similar) -> DataFrame:
-    """(node): the nodes that are left out for a node that stays, and is as alike as it takes.
+    """(node): the nodes (node, least, size, tokens) that are left out for a node that stays, and is as alike as it takes.
 
-    Rounds: proposed links make groups. A group's members are compared with its two candidates; the one that most
-    are alike (the first document's, if it is as good) stays, those go, and the others go on among themselves.
-    Rounds end when no link is left, or when one leaves nothing out.
+    Rounds: of each bucket some nodes lead, and are compared with all that they meet. Of leaders alike, the one that is
+    like most nodes stays (the first document's, if others are like as many); what is like one that stays goes, and the
+    others go on. A bucket of few nodes is settled at once, one of many near copies by a few of them. Where leaders
+    leave out little, the next round has more of them; rounds end when no two nodes meet.
     """
-    sets, out, left = None, [], nodes
-    while True:
-        groups = components(links(left, alike.how, halves=2))
-        members = written(groups.join(left.select("node", "fp", "fp2", "least"), "node"))
-        total = members.count()
-        if not total:
-            break
-        if sets is None:
-            sets = written(_sets(docs, members, alike.words))
-        led = written(_led(members, total))
-        leaders = led.select("root", F.explode("leaders").alias("leader"), "size")
-        pairs = lookup(members.select("root", "node"), led, "root", total).select("root", "node", F.explode("leaders").alias("leader"), "size").filter("node != leader")
-        ways = F.floor(F.col("size") / SHARE) + 1  # a large group's members are dealt out to several copies of its leader's set
-        ours = pairs.join(sets, "node").withColumn("way", F.pmod(F.xxhash64("node"), ways))
-        theirs = leaders.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), ways - 1)).alias("way")).join(sets.withColumnsRenamed({"node": "leader", "shingles": "_shingles"}), "leader")
-        shared = F.size(F.array_intersect("shingles", "_shingles"))
-        like = written(ours.join(theirs, ["leader", "way"]).filter(shared >= alike.share * (F.size("shingles") + F.size("_shingles") - shared)).select("root", "node", "leader").distinct())
-        alikes = like.count()
-        if not alikes:
-            break
-        least = members.select(F.col("node").alias("leader"), F.col("least").alias("_least"))
-        counts = like.groupBy("root", "leader").agg(F.count("*").alias("n")).join(least, "leader")
-        best = counts.groupBy("root").agg(F.min(F.struct((-F.col("n")).alias("n"), "_least", "leader")).alias("b")).select("root", F.col("b.leader").alias("best"), (-F.col("b.n")).alias("n"))
-        gone = written(lookup(like, best.withColumn("n", F.col("n") * 2), "root", alikes).filter("leader = best").select("node"))
-        out.append(gone)
-        settled = best.select(F.col("best").alias("node")).unionByName(leaders.join(best, "root", "left_anti").select(F.col("leader").alias("node")))
-        left = written(members.join(settled, "node", "left_anti").join(gone, "node", "left_anti"))
+    out, most = [], alike.leaders
+    rows = written(_met(nodes))
+    left = rows.count()
+    sets = None
+    while left:
+        rows = written(_ranked(rows, most))
+        pairs = written(_proposed(rows, alike.share))
+        if sets is None:  # of all that this round or a later one can compare
+            wanted = pairs.select("node").unionByName(pairs.select(F.col("leader").alias("node"))).unionByName(rows.filter("not lead").select("node")).distinct()
+            sets = written(_sets(docs, nodes.join(wanted, "node", "left_semi"), alike.words))
+        like = written(_alike(pairs, sets, alike.share))
+        beaten = written(_beaten(like, nodes))
+        gone = like.filter("not lead").join(beaten.withColumnRenamed("node", "leader"), "leader", "left_anti").select("node").distinct()
+        out += [beaten, written(gone)]
+        rows = written(_shared(rows.filter("not lead").drop("lead").join(out[-1], "node", "left_anti")))
+        was, left = left, rows.count()
+        if left * 2 > was:
+            most *= 4
     return reduce(DataFrame.unionByName, out) if out else nodes.select("node").limit(0)
 
 
 def keep_one(docs: DataFrame, alike: Similar = Similar()) -> DataFrame:
     """``docs`` without the documents that are alike one that stays; all columns stay.
 
-    Documents with the same set of shingles are copies, of which the smallest doc_id stays (null last). Of a group of
-    others, the one most like all of them stays, and a member goes only if it is itself alike that one. Null and empty
+    Documents with the same set of shingles are copies, of which the smallest doc_id stays (null last). Of others, no
+    two that stay are alike, and a document goes only if it is itself alike one that stays. Null and empty
     texts are copies of each other. Rows alike in doc_id and text are one document and come out once; very long texts
     are read in parts; an empty table gives an empty table.
     """
-    marked = written(sketches(docs, alike.words))
-    nodes = written(_nodes(marked))
+    marked = written(sketches(docs, alike))
+    document = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "mark")
+    nodes = written(marked.groupBy("node").agg(F.min(document).alias("least"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("tokens").alias("tokens")))
+    marked = marked.drop("size", "tokens")
     fate = nodes.join(covered(docs, nodes, alike).withColumn("_gone", F.lit(True)), "node", "left").select("node", "n", "least", F.coalesce("_gone", F.lit(False)).alias("gone"))
     own = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "mark")
     dropped = lookup(marked, fate, "node", marked.count()).filter(F.col("gone") | ~own.eqNullSafe(F.col("least"))).select("doc_id", "mark").distinct()

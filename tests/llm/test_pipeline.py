@@ -141,3 +141,27 @@ def test_a_large_group_of_near_copies_leaves_its_text(spark):
     assert len(near) > 2900 and len(set(near) & set(kept)) <= 0.02 * len(near), len(set(near) & set(kept))
     stay = [sets[i] for i in kept]
     assert all(any(len(sets[i] & x) >= 0.8 * len(sets[i] | x) for x in stay) for i in texts if i not in kept)
+
+
+def test_near_dedup_leaves_no_pair_alike(spark):
+    rng = random.Random(11)
+    texts = {}
+    for n in range(0, 600, 2):  # lone pairs, half of them barely over 0.8
+        a = prose(rng, 300).split()
+        b, k = list(a), rng.randint(22, 40)
+        at = rng.randrange(len(b) - k)
+        b[at : at + k] = prose(rng, k).split()
+        texts[n], texts[n + 1] = " ".join(a), " ".join(b)
+    base = prose(rng, 300).split()
+    for n in range(600, 900):  # a loose group, in which few are like many
+        b = list(base)
+        for k in rng.sample(range(300), rng.randint(2, 7)):
+            b[k] = rng.choice(WORDS)
+        texts[n] = " ".join(b)
+    sets = words_of(texts)
+    kept = {r.doc_id for r in keep_one(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    like = lambda i, j: 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])
+    near = [(i, j) for i in texts for j in texts if i < j and (j == i + 1 if i < 600 else True) and like(i, j)]
+    assert sum(i < 600 for i, _ in near) > 100 and len(near) > 1000
+    assert not [(i, j) for i, j in near if i in kept and j in kept]
+    assert all(any(like(i, j) for j in kept) for i in texts if i not in kept)
