@@ -94,3 +94,22 @@ def test_components_whatever_a_run_holds(spark, monkeypatch, held):
     alone = {a for a, b in edges if a == b} - {x for a, b in edges if a != b for x in (a, b)}  # a node without another is left out
     assert sorted((r.node, r.root) for r in found) == sorted((x, y) for x, y in least.items() if x not in alone)
     assert spark.range(0).selectExpr("id a", "id b").transform(simhash.components).count() == 0
+
+
+def test_prefixes_are_a_fifth_of_a_set_and_sets_alike_share_one():
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 5, 37, 400):
+        pool = rng.permutation(np.arange(1, 4 * n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        often = np.sort(pool[: 2 * n])
+        known = often, rng.integers(2, 9, 2 * n)
+        for _ in range(50):
+            a = pool[:n]
+            gone = rng.integers(0, n // 9 + 1)  # as many go as come
+            b = np.r_[a[gone:], pool[n : n + gone]]
+            a, b = np.sort(a), np.sort(b)
+            x, y = (simhash.prefix(z, known, 0.8) for z in (a, b))
+            assert len(x) <= 0.2 * n + 1
+            if (n - gone) * 10 >= 8 * (n + gone):
+                assert np.intersect1d(x, y).size
+            pool = rng.permutation(pool)
+    assert not simhash.prefix(pool[:0], known, 0.8).size
