@@ -113,3 +113,21 @@ def test_prefixes_are_a_fifth_of_a_set_and_sets_alike_share_one():
                 assert np.intersect1d(x, y).size
             pool = rng.permutation(pool)
     assert not simhash.prefix(pool[:0], known, 0.8).size
+
+
+@pytest.mark.parametrize("n", [400])
+def test_near_dedup_proposes_no_more_than_leaders_of_each_node(spark, monkeypatch, n):
+    """A large group of copies that are alike: what is made of it grows with its rows, not their square."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(150)]
+    texts = [[f"own{i}-{k}" if k in put else w for k, w in enumerate(base)] for i, put in enumerate(set(rng.choice(150, 1, replace=False).tolist()) for _ in range(n))]
+    seen, proposed = [], simhash._proposed
+
+    def counted(rows, share):
+        made = simhash.written(proposed(rows, share))
+        seen.append((rows.count(), made.count()))
+        return made
+
+    monkeypatch.setattr(simhash, "_proposed", counted)
+    kept = simhash.keep_one(spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")).count()
+    assert kept < n and sum(pairs for _, pairs in seen) <= 8 * n, seen
