@@ -106,6 +106,13 @@ def binary(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that what is made of one takes little memory."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def words_of(data: bytes, step: int = STEP) -> Iterator[list[bytes]]:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text, some at a time, A-Z in lower case."""
     at, end = 0, len(data)

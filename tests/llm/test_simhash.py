@@ -131,3 +131,52 @@ def test_near_dedup_proposes_no_more_than_leaders_of_each_node(spark, monkeypatc
     monkeypatch.setattr(simhash, "_proposed", counted)
     kept = simhash.keep_one(spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")).count()
     assert kept < n and sum(pairs for _, pairs in seen) <= 8 * n, seen
+
+
+def test_bits_tell_unlike_sets_and_no_sets_alike():
+    rng = np.random.default_rng(6)
+    told = 0
+    for _ in range(300):
+        n = int(rng.integers(1, 900))
+        pool = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
+        gone, come = rng.integers(0, n // 8 + 1, 2)
+        a, b, far = np.unique(pool[:n]), np.unique(pool[gone : n + come]), np.unique(pool[n:])
+        for x, y in ((a, b), (a, far)):
+            can = simhash._can_be_alike(simhash._bits(simhash._odd(x)), simhash._bits(simhash._odd(y)), 0.8)
+            both = len(np.intersect1d(x, y))
+            alike = both / (len(x) + len(y) - both) >= 0.8
+            assert simhash._are_alike(x, y, 0.8) == alike and can >= alike
+            told += not can
+    assert told > 250
+
+
+def test_dealt_shingles_come_back_and_only_rows_in_company_stay():
+    rng = np.random.default_rng(7)
+    n = 3000
+    token, node = rng.integers(0, 900, n), np.sort(rng.integers(0, 1 << 40, n))
+    token[:100] = 7
+    size = rng.integers(1, 60, n)
+    pos = rng.integers(0, size)
+    back = simhash._read_small(simhash._written_small(token.astype(np.uint64), node, pos, size))
+    assert all((x == y).all() for x, y in zip(back, (token, node, pos, size)))
+    want = set(np.flatnonzero(token == 7).tolist())  # more than BUCKET
+    for i in range(n):
+        for j in np.flatnonzero(token == token[i]).tolist():
+            need = 0.8 / 1.8 * (size[i] + size[j]) - 1e-9
+            if i != j and min(size[i], size[j]) >= 0.8 * max(size[i], size[j]) - 1e-9 and min(size[i] - pos[i], size[j] - pos[j]) >= need:
+                want.add(i)
+    assert set(simhash._in_company(*back, 0.8).tolist()) == want
+
+
+def test_near_dedup_shuffles_less_than_four_times_its_texts(spark):
+    """Of unlike texts with a passage in common, that meet in prefixes as no order by rarity is known."""
+    rng = np.random.default_rng(9)
+    words = [a + b for a in ("ka", "lo", "mi", "ne", "pu") for b in ("ba", "de", "fi", "go", "hu", "ra", "se", "ti", "vo", "zu")]
+    prose = lambda n: " ".join(rng.choice(words, n).tolist())
+    passages = [prose(200) for _ in range(12)]
+    texts = [f"{prose(300)} {passages[i % 12]}" for i in range(480)]
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).head().totalShuffleWrite()
+    before = shuffled()
+    kept = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), simhash.Similar(sample=1)).count()
+    assert kept == len(texts)
+    assert shuffled() - before < 4 * sum(map(len, texts)), (shuffled() - before) / sum(map(len, texts))
