@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from quern.llm.common import partitions, size_of, table
+from quern.llm.common import partitions, size_of, sliced, table
 
 #: A run of words that doesn't go on past a line's end, a sentence's end, or a capital letter. After 。！？ it ends
 #: without white space too.
@@ -214,8 +214,8 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(out) + (gap if bare else "")
 
 
-#: Units that are held at a time.
-ROWS = 1 << 18
+#: Units that are held at a time, and of how many digests and places are objects of their own.
+ROWS, LOOSE = 1 << 18, 1 << 12
 UNIT = "high long, low int, doc_id long, text_hash long, span long"
 
 
@@ -239,10 +239,11 @@ def _occurrences(docs: DataFrame, how: Units) -> DataFrame:
     others: a line that a third of all documents share comes once a run.
     """
 
-    def told(digests: list[bytes], owners: list[int], spans: list[int], ranks: list[tuple]) -> pa.RecordBatch:
+    def told(packed: list[tuple], ranks: list[tuple]) -> pa.RecordBatch:
+        digests, owners, spans = zip(*packed)
         digest = np.frombuffer(b"".join(digests), dtype=[("high", "<i8"), ("low", "u1"), ("rest", "V7")])  # 72 bits are shuffled
         high, low = digest["high"].copy(), digest["low"].astype(np.int32)
-        owner, span = np.array(owners), np.array(spans, dtype=np.int64)
+        owner, span = np.concatenate(owners), np.concatenate(spans)
         place = {r: i for i, r in enumerate(sorted(set(ranks)))}
         late = _late(high, low, np.array([place[r] for r in ranks])[owner], span >> 32)
         ids, marks = pa.array([None if r[0] else r[1] for r in ranks], pa.int64()), pa.array([r[2] for r in ranks], pa.int64())
@@ -250,20 +251,32 @@ def _occurrences(docs: DataFrame, how: Units) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(high), pa.array(low), ids.take(owner), marks.take(owner), pa.array(np.where(late, ~span, span))], names=["high", "low", "doc_id", "text_hash", "span"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = digests, owners, spans, ranks = [], [], [], []
-        for batch in batches:
+        packed, ranks, n = [], [], 0
+        digests, owners, spans = [], [], []
+
+        def pack() -> None:
+            nonlocal digests, owners, spans
+            packed.append((b"".join(digests), np.array(owners), np.array(spans, dtype=np.int64)))
+            digests, owners, spans = [], [], []
+
+        for batch in sliced(batches):
             for doc, mark, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text"))):
                 ranks.append((doc is None, doc or 0, mark))
                 for start, end, unit in units(text, how):
                     digests.append(xxhash.xxh3_128_digest(unit))
                     owners.append(len(ranks) - 1)
                     spans.append(start << 32 | end - start)
-                    if len(spans) >= ROWS:
-                        yield told(*held)
-                        held = digests, owners, spans, ranks = [], [], [], [ranks[-1]]
+                    n += 1
+                    if len(spans) >= LOOSE or n >= ROWS:
+                        pack()
+                    if n >= ROWS:
+                        yield told(packed, ranks)
+                        packed, ranks, n = [], [ranks[-1]], 0
                         # the text goes on as the first of the next run
         if spans:
-            yield told(*held)
+            pack()
+        if packed:
+            yield told(packed, ranks)
 
     return docs.select("doc_id", "text_hash", "text").mapInArrow(run, UNIT)
 
@@ -320,7 +333,7 @@ def dedup(docs: DataFrame, how: Units = Units()) -> DataFrame:
     joined = own.join(spans, (doc == spans["_id"]) & (none == spans["_none"]) & (own["_mark"] == spans["text_hash"]), "left").select(*[f"_{i}" for i in range(len(columns))], "_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             spans_ = [merged([(x >> 32, (x >> 32) + (x & 0xFFFFFFFF)) for x in s]) if s else [] for s in batch.column(len(columns)).to_pylist()]
             texts = batch.column(at).to_pylist()
             new = [t if t is None or not s else cut(t, s) for t, s in zip(texts, spans_)]

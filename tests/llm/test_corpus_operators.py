@@ -190,6 +190,33 @@ def test_a_line_of_half_the_documents_lands_in_no_single_task(spark):
     assert got.filter("size(removed) > 0").count() == 3999 and got.filter("doc_id = 1 and size(removed) = 0").count() == 1
 
 
+def test_a_batch_of_many_texts_is_held_in_parts(spark, monkeypatch):
+    """What a Python worker holds besides the batch that it gets, as Spark sends 10,000 documents at a time."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    made, frame = [], type(spark.range(0))
+    plain = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, run, schema: made.append(run) or plain(self, run, schema))
+    rng = random.Random(5)
+    words = [a + b for a in PLAIN for b in PLAIN]
+    texts = [prose(rng, 60, words) for _ in range(3000)]
+    dedup(spark.createDataFrame([(1, "a")], DOCS))
+    found, _, cutter = made
+    batches = [[[*range(3000)], [0] * 3000, texts], [[*range(3000)], texts, [[(1 << 32) + 40]] * 3000]]
+    kinds = [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("text", pa.string())], [("doc_id", pa.int64()), ("text", pa.string()), ("_spans", pa.list_(pa.int64()))]
+    size = sum(map(len, texts))
+    for run, columns, kind, most in ((found, batches[0], kinds[0], 10_000_000), (cutter, batches[1], kinds[1], size)):
+        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kind)], names=[n for n, _ in kind])
+        tracemalloc.start()
+        held = pa.total_allocated_bytes()
+        rows = sum(out.num_rows for out in run(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows >= 3000 and pa.total_allocated_bytes() - held < size and peak < most, (rows, peak / size, peak)
+
+
 def test_very_long_texts_and_nothing_at_all(spark):
     long = " ".join(f"w{i}" for i in range(300_000))
     got = {r.doc_id: r for r in dedup(spark.createDataFrame([(1, long), (2, long + " tail"), (3, None), (4, ""), (5, " \n ")], DOCS)).collect()}
